@@ -245,6 +245,7 @@ def oracle_sql() -> dict[str, str]:
             FROM trades WHERE event_time >= TIMESTAMP '2024-01-11' AND trade_type = 'SELL'
             """
         ),
+        "preview": "SELECT least(10, count(*)) AS shown, least(10, count(*)) AS found FROM events",
         "history_stored": _trades(
             f" SELECT event_time, CAST(event_id AS VARCHAR) AS event_id, ticker, price, volume,"
             " trade_type, trade_id, market_code, currency_code FROM trades"
@@ -345,6 +346,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_health": _health(anomalies=True),
         "changes_current": _ORDERS_LEFT,
+        "changes_rejected": """
+            SELECT CASE o_orderkey % 4 WHEN 1 THEN 'no time of change' WHEN 3 THEN 'null value'
+                   ELSE 'no such operation' END AS problem,
+                   CAST(sum(1 + CAST(o_orderkey % 3 = 0 AS INTEGER)
+                            + CAST(o_orderkey % 6 = 0 AS INTEGER)
+                            + CAST(o_orderkey % 5 = 0 AS INTEGER)) AS BIGINT) AS messages
+            FROM orders GROUP BY 1
+        """,
         "changes_bootstrap": _ORDERS_LEFT,
         "copies_removed": _trades(f" SELECT {everything} FROM trades"),
         "stream_candles": _trades(
@@ -357,7 +366,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT requests.ticker, tick,
                    make_timestamp((second - second % tick + tick) * 1000000) AS bucket_end,
                    count(DISTINCT sub_id) AS subscribers, max(price) AS high, min(price) AS low,
-                   count(*) AS trades
+                   count(DISTINCT event_id) AS trades
             FROM requests JOIN seconds ON seconds.ticker = requests.ticker
             GROUP BY 1, 2, 3
             """,

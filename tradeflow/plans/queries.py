@@ -56,7 +56,8 @@ def _subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "events").schema
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    # A file source wants a folder or a pattern; this one fits a file and a folder.
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return events_as_trades(files, zoned=True)
 
 
@@ -100,7 +101,14 @@ def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.preview(event_trades(spark, sf_dir))
+    """How many rows a preview shows, and how many of them the table really has."""
+    trades = event_trades(spark, sf_dir)
+    shown = history.preview(trades).select("event_id", F.lit(1).alias("shown"))
+    # The preview is the fixed-size side.
+    found = trades.select("event_id", F.lit(1).alias("found")).join(
+        F.broadcast(shown), "event_id"
+    )
+    return found.agg(F.sum("shown").alias("shown"), F.sum("found").alias("found"))
 
 
 def history_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,8 +287,9 @@ def changes_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message cut short, empty or altered on its way, with the reason."""
-    feed = _feed(spark, sf_dir).withColumn("kind", F.crc32("value") % 4)
+    """Every message cut short, altered or emptied on its way, with the reason."""
+    order = F.floor(F.regexp_extract("value", '"ts_ms":([0-9]+)', 1).cast("long") / 10)
+    feed = _feed(spark, sf_dir).withColumn("kind", order % 4)
     damaged = feed.select(
         F.when(F.col("kind") == 0, F.expr("left(value, 20)"))
         .when(F.col("kind") == 1, F.regexp_replace("value", '"ts_ms":[0-9]+', '"ts_ms":null'))
@@ -335,14 +344,7 @@ def stream_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         DELAY,
     )
     state.finish(query)
-    ticks = subscriptions.read_ticks(spark, f"{place}/out")
-    by_setting = ticks.groupBy("ticker", "tick", "bucket_end").agg(
-        F.count(F.lit(1)).alias("subscribers"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.sum("trades").alias("trades"),
-    )
-    return _unzoned(by_setting, "bucket_end")
+    return _unzoned(subscriptions.read_shared_ticks(spark, f"{place}/out"), "bucket_end")
 
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

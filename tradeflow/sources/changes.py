@@ -64,9 +64,9 @@ def parse_changes(raw: DataFrame) -> DataFrame:
     """
     if "position" not in raw.columns:
         raw = raw.withColumn("position", F.lit(None).cast("long"))
-    opened = raw.withColumn("event", F.from_json("value", ENVELOPE)).select(
-        "value", "position", "event.*"
-    )
+    # A generator, because a filter on parsed fields would otherwise be pushed
+    # below and parse the text again for each of them.
+    opened = raw.select("value", "position", F.inline(F.array(F.from_json("value", ENVELOPE))))
     typed = opened.select(
         "value",
         "position",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,9 +15,9 @@ from ..operators.quality import check_subscriptions, split
 from . import state
 from .windows import candle_stream
 
-PARTIAL = T.StructType(
+# One row per ticker and tick length in use, not per subscriber.
+TICK = T.StructType(
     [
-        T.StructField("sub_id", T.StringType()),
         T.StructField("ticker", T.StringType()),
         T.StructField("tick", T.IntegerType()),
         T.StructField("bucket_end", T.TimestampType()),
@@ -27,6 +27,15 @@ PARTIAL = T.StructType(
     ]
 )
 
+# The setting of a subscriber; null once there is no valid request.
+SETTING = T.StructType(
+    [
+        T.StructField("sub_id", T.StringType()),
+        T.StructField("ticker", T.StringType()),
+        T.StructField("tick", T.IntegerType()),
+    ]
+)
+
 PRICE = T.StructType(
     [
         T.StructField("ticker", T.StringType()),
@@ -54,25 +63,31 @@ def _merged() -> list[Column]:
     ]
 
 
-def subscriber_candles(seconds: DataFrame, requests: DataFrame) -> DataFrame:
-    """One-second candles merged to each subscriber's own tick.
+def merge_seconds(seconds: DataFrame, settings: DataFrame) -> DataFrame:
+    """One-second candles merged to every tick length in use for their ticker.
 
-    Every whole-second tick is a union of seconds, so merging is exact. Seconds
-    are merged once per ticker and tick in use, then handed to the subscribers,
-    so a popular ticker costs no more than any other before the last join.
+    Every whole-second tick is a union of seconds, so merging is exact. It is
+    done once per ticker and length: its cost does not grow with the number of
+    subscribers, however many of them follow the same ticker.
     """
     tick = F.col("tick")
     second = F.unix_seconds("bucket_start")
-    in_use = requests.select("ticker", "tick").distinct()
-    shared = (
-        seconds.join(in_use, "ticker")
+    return (
+        seconds.join(settings.select("ticker", "tick").distinct(), "ticker")
         .withColumn("bucket_end", F.timestamp_seconds((F.floor(second / tick) + 1) * tick))
         .groupBy("ticker", "tick", "bucket_end")
         .agg(*_merged())
+        .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TICK.fields])
     )
-    joined = requests.select("sub_id", "ticker", "tick").join(shared, ["ticker", "tick"])
-    names = {f.name: F.col(f.name).cast(f.dataType).alias(f.name) for f in PARTIAL.fields}
-    return joined.select(*names.values())
+
+
+def changed_settings(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Subscribers whose setting is not what it was; null if they have none any more."""
+    before = old.select("sub_id", F.struct("ticker", "tick").alias("_old"))
+    after = new.select("sub_id", F.struct("ticker", "tick").alias("_new"))
+    both = before.join(after, "sub_id", "full")
+    changed = both.where(~F.col("_old").eqNullSafe(F.col("_new")))
+    return changed.select("sub_id", "_new.ticker", "_new.tick")
 
 
 def start_ticks(
@@ -83,26 +98,69 @@ def start_ticks(
     delay: str,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Write each subscriber's partial candles, with the requests valid at that moment.
+    """Write partial ticks per batch, and which subscribers changed their setting.
 
     A changed request holds for the seconds that close after it is read.
     """
 
     def step(seconds: DataFrame, batch_id: int) -> None:
-        requests = valid_requests(subscriptions(seconds.sparkSession))
-        state.write_batch(subscriber_candles(seconds, requests), out, batch_id)
+        spark = seconds.sparkSession
+        names = [field.name for field in SETTING.fields]
+        state.write_batch(valid_requests(subscriptions(spark)).select(*names), f"{out}/now", batch_id)
+        # Read back, so that ticks and changes are both made from the same requests.
+        settings = state.read_batch(spark, SETTING, f"{out}/now", batch_id)
+        old = (
+            state.read_batch(spark, SETTING, f"{out}/now", batch_id - 1)
+            if batch_id > 0
+            else spark.createDataFrame([], SETTING)
+        )
+        state.write_batch(changed_settings(settings, old), f"{out}/settings", batch_id)
+        state.write_batch(merge_seconds(seconds, settings), f"{out}/ticks", batch_id)
+        state.forget_before(spark, f"{out}/now", batch_id - 1)
 
     return state.start_batches(candle_stream(trades, "1 second", delay), step, checkpoint, every)
 
 
-def merge_ticks(partials: DataFrame) -> DataFrame:
-    """Whole ticks from partial ones; also serves to compact closed batches."""
-    return partials.groupBy("sub_id", "ticker", "tick", "bucket_end").agg(*_merged())
+def setting_spans(spark: SparkSession, out: str) -> DataFrame:
+    """From which batch to before which batch each setting held."""
+    changes = state.read_all(spark, SETTING, f"{out}/settings")
+    of_subscriber = Window.partitionBy("sub_id").orderBy("batch_id")
+    spans = changes.withColumn("until", F.lead("batch_id").over(of_subscriber))
+    return spans.where(F.col("ticker").isNotNull()).withColumnRenamed("batch_id", "since")
 
 
-def read_ticks(spark: SparkSession, out: str) -> DataFrame:
-    """The ticks of all subscribers so far."""
-    return merge_ticks(state.read_all(spark, PARTIAL, out))
+def _held(ticks: DataFrame, spans: DataFrame) -> DataFrame:
+    batch = F.col("batch_id")
+    return ticks.join(spans, ["ticker", "tick"]).where(
+        (batch >= F.col("since")) & (F.col("until").isNull() | (batch < F.col("until")))
+    )
+
+
+def read_ticks(spark: SparkSession, out: str, sub_id: str | None = None) -> DataFrame:
+    """The ticks of one subscriber, or of all of them."""
+    spans = setting_spans(spark, out)
+    if sub_id is not None:
+        spans = spans.where(F.col("sub_id") == sub_id)
+    ticks = state.read_all(spark, TICK, f"{out}/ticks")
+    return _held(ticks, spans).groupBy("sub_id", "ticker", "tick", "bucket_end").agg(*_merged())
+
+
+def read_shared_ticks(spark: SparkSession, out: str) -> DataFrame:
+    """Each tick once, with the number of subscribers who had chosen it at its end."""
+    spans = setting_spans(spark, out)
+    followers = spans.groupBy("ticker", "tick", "since", "until").agg(
+        F.count(F.lit(1)).alias("subscribers")
+    )
+    ticks = state.read_all(spark, TICK, f"{out}/ticks")
+    per_batch = _held(ticks, followers).groupBy("ticker", "tick", "bucket_end", "batch_id").agg(
+        F.sum("subscribers").alias("subscribers"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max("trades").alias("trades"),
+    )
+    return per_batch.groupBy("ticker", "tick", "bucket_end").agg(
+        F.max_by("subscribers", "batch_id").alias("subscribers"), *_merged()
+    )
 
 
 # Newest price, sent every tick even if it has not changed.
