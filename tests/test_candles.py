@@ -6,7 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import START, trade
-from tradeflow.operators.candles import candle_report, candles, fill_gaps, roll_up, tick_candles
+from tradeflow.operators.candles import (
+    candle_report,
+    candles,
+    fill_gaps,
+    roll_up,
+    tick_candles,
+    ticker_spans,
+)
 from tradeflow.operators.health import arrivals, health
 from tradeflow.operators.latest import latest, messages, newest_requests
 
@@ -73,7 +80,8 @@ def test_high_low_ticks_need_no_sort(make):
 def test_gaps_cover_every_bucket_once(make, width, seconds):
     # A width that does not divide a day, over more than two days.
     rows = [trade(1, 3), trade(2, 200_000), trade(3, 30, ticker="B"), trade(4, 31, ticker="B")]
-    filled = fill_gaps(tick_candles(make(rows), width), width)
+    df = make(rows)
+    filled = fill_gaps(tick_candles(df, width), width, ticker_spans(df, width))
     counts = {
         r["ticker"]: (r["n"], r["d"], r["with"])
         for r in filled.groupBy("ticker")
@@ -86,7 +94,7 @@ def test_gaps_cover_every_bucket_once(make, width, seconds):
     }
     epoch = int(START.timestamp())
     buckets = (epoch + 200_000) // seconds - (epoch + 3) // seconds + 1
-    assert counts["A" if "A" in counts else "AAPL"] == (buckets, buckets, 2)
+    assert counts["AAPL"] == (buckets, buckets, 2)
     few = (epoch + 31) // seconds - (epoch + 30) // seconds + 1
     assert counts["B"][:2] == (few, few)
 
@@ -104,8 +112,17 @@ def test_messages_for_known_and_unknown_tickers(spark, make):
     assert (sent["s3"]["type"], sent["s3"]["current_tick"]) == ("candle_tick", 2)
 
 
-def test_health_tells_silence_from_delay(make):
+def test_health_tells_silence_from_delay_and_failure(make):
     rows = [trade(1, 59), trade(2, 190), trade(3, 299)]
-    found = health(arrivals(make(rows), "1 minute"), "1 minute", slow="30 seconds")
-    shown = [(r["rows"], r["status"]) for r in found.orderBy("bucket_start").collect()]
-    assert shown == [(1, "ok"), (0, "none"), (0, "none"), (1, "delayed"), (1, "ok")]
+    bad = [trade(9, 100), trade(10, 101), trade(11, 20)]
+    found = health(
+        arrivals(make(rows), "1 minute"), "1 minute", rejected=make(bad), slow="30 seconds"
+    )
+    shown = [(r["rows"], r["rejected"], r["status"]) for r in found.orderBy("bucket_start").collect()]
+    assert shown == [
+        (1, 1, "ok"),
+        (0, 2, "failed"),
+        (0, 0, "none"),
+        (1, 0, "delayed"),
+        (1, 0, "ok"),
+    ]

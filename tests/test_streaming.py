@@ -12,7 +12,7 @@ from tradeflow.operators.latest import latest
 from tradeflow.schema import TRADE_COLUMNS, TRADE_RAW
 from tradeflow.sources import append_batch, read_batches, read_changes
 from tradeflow.streaming import anomaly as rules
-from tradeflow.streaming import changes, state, subscriptions, windows
+from tradeflow.streaming import changes, sinks, state, subscriptions, windows
 
 
 def _rows(count=600, seconds=3000, seed=4):
@@ -284,3 +284,16 @@ def test_change_stream_keeps_the_table_current(spark, tmp_path):
 def test_source_of_changes_is_named_once(spark):
     with pytest.raises(ValueError):
         read_changes(spark)
+
+
+def test_window_anomalies_go_out_as_text(spark, make, feed_files, stream_of, tmp_path):
+    rows = [trade(i, i) for i in range(30)] + [trade(99, 4000)]
+    folder = feed_files(0, rows)
+    found = windows.burst_stream(stream_of(folder), "1 minute", "1 minute", 20)
+    text = anomaly.as_messages(anomaly.select_anomalies(found, ["AAPL"], ["burst"]))
+    query = sinks.start_messages(text, f"{tmp_path}/cp", path=f"{tmp_path}/out")
+    state.finish(query)
+    sent = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert [(m["event_time"], m["score"]) for m in sent] == [("2024-01-01T00:00:00+00:00", 30.0)]
+    with pytest.raises(ValueError):
+        sinks.start_messages(text, f"{tmp_path}/cp")

@@ -101,25 +101,20 @@ def candle_report(merged: DataFrame) -> DataFrame:
     )
 
 
-def calendar(spans: DataFrame, first: Column, last: Column, width: str) -> DataFrame:
+def calendar(spans: DataFrame, width: str) -> DataFrame:
     """One row per bucket from ``first`` to ``last``, for every row of ``spans``.
 
-    Days are listed first and spread over the tasks, then the buckets of each day,
-    so that neither an array nor a task has to hold a whole long span.
+    Blocks of about a day are listed first and spread over the tasks, then the
+    buckets of each block, so that neither an array nor a task has to hold a
+    whole long span. A width need not divide a day: blocks are whole buckets.
     """
-    step = interval(width)
+    step, block = interval(width), interval(width) * max(1, 86400 // _seconds(width))
     tasks = spans.sparkSession.sparkContext.defaultParallelism
-    names = spans.columns
-    day, end = F.col("_day"), F.col("_last")
-    # A width need not divide a day, so each block is a whole number of buckets.
-    block = F.expr(f"INTERVAL {width} * greatest(1, 86400 div {_seconds(width)})")
-    return (
-        spans.select(*names, last.alias("_last"), F.explode(F.sequence(first, last, block)).alias("_day"))
-        .repartition(tasks, *names, "_day")
-        .select(
-            *names,
-            F.explode(F.sequence(day, F.least(end, day + block - step), step)).alias("bucket_start"),
-        )
+    names = [name for name in spans.columns if name not in ("first", "last")]
+    blocks = spans.withColumn("_block", F.explode(F.sequence("first", "last", block)))
+    end = F.least("last", F.col("_block") + block - step)
+    return blocks.repartition(tasks, *names, "_block").select(
+        *names, F.explode(F.sequence("_block", end, step)).alias("bucket_start")
     )
 
 
@@ -128,13 +123,23 @@ def _seconds(width: str) -> int:
     return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
-def fill_gaps(found: DataFrame, width: str) -> DataFrame:
-    """All buckets of a ticker between its first and last one.
+def ticker_spans(trades: DataFrame, width: str) -> DataFrame:
+    """First and last bucket of every ticker, from two columns of the trades."""
+    spans = trades.groupBy("ticker").agg(
+        F.min("event_time").alias("first"), F.max("event_time").alias("last")
+    )
+    # One window expression per projection is all that Spark takes.
+    for name in ("first", "last"):
+        spans = spans.withColumn(name, bucket_start(name, width))
+    return spans
+
+
+def fill_gaps(found: DataFrame, width: str, spans: DataFrame) -> DataFrame:
+    """All buckets of a ticker from ``first`` to ``last`` of its row in ``spans``.
 
     Those without trades have null measures, so that missing data can be seen.
     """
-    spans = found.groupBy("ticker").agg(
-        F.min("bucket_start").alias("_from"), F.max("bucket_start").alias("_to")
+    buckets = calendar(spans.select("ticker", "first", "last"), width).select(
+        "ticker", "bucket_start"
     )
-    buckets = calendar(spans, F.col("_from"), F.col("_to"), width)
-    return buckets.select("ticker", "bucket_start").join(found, ["ticker", "bucket_start"], "left")
+    return buckets.join(found, ["ticker", "bucket_start"], "left")

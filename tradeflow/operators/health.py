@@ -18,41 +18,47 @@ def arrivals(trades: DataFrame, width: str) -> DataFrame:
     )
 
 
+def _per_bucket(events: DataFrame, width: str, name: str) -> DataFrame:
+    bucketed = events.withColumn("bucket_start", bucket_start("event_time", width))
+    return bucketed.groupBy("bucket_start").agg(F.count(F.lit(1)).alias(name))
+
+
 def health(
     arrived: DataFrame,
     width: str,
     anomalies: DataFrame | None = None,
+    rejected: DataFrame | None = None,
     slow: str = "1 minute",
 ) -> DataFrame:
     """One row for every interval, also the empty ones, with a status.
 
     ``lag_seconds`` is the silence at the end of the interval. "none" means no
-    trade came, "delayed" that the silence is longer than ``slow``.
+    trade came, "failed" that only rejected ones came, and "delayed" that the
+    silence is longer than ``slow``. Counts that are not asked for are null.
     """
-    step = interval(width)
-    span = arrived.agg(F.min("bucket_start").alias("_from"), F.max("bucket_start").alias("_to"))
-    buckets = calendar(span, F.col("_from"), F.col("_to"), width).select("bucket_start")
-    rows = buckets.join(arrived, "bucket_start", "left")
-    if anomalies is None:
-        rows = rows.withColumn("anomalies", F.lit(None).cast("long"))
-    else:
-        found = (
-            anomalies.withColumn("bucket_start", bucket_start("event_time", width))
-            .groupBy("bucket_start")
-            .agg(F.count(F.lit(1)).alias("found"))
-        )
-        rows = rows.join(found, "bucket_start", "left").withColumn(
-            "anomalies", F.coalesce("found", F.lit(0).cast("long"))
-        )
-    end = F.col("bucket_start") + step
-    late = F.col("newest") < end - interval(slow)
-    lag = F.timestamp_diff("MICROSECOND", F.col("newest"), end) / 1e6
-    status = F.when(F.col("newest").isNull(), "none").when(late, "delayed").otherwise("ok")
+    end = F.col("bucket_start") + interval(width)
+    span = arrived.agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last"))
+    rows = calendar(span, width).join(arrived, "bucket_start", "left")
+    zero = F.lit(0).cast("long")
+    for name, events in (("anomalies", anomalies), ("rejected", rejected)):
+        if events is None:
+            rows = rows.withColumn(name, F.lit(None).cast("long"))
+        else:
+            rows = rows.join(_per_bucket(events, width, name), "bucket_start", "left")
+            rows = rows.withColumn(name, F.coalesce(name, zero))
+    newest = F.col("newest")
+    status = (
+        F.when(newest.isNull() & (F.col("rejected") > 0), "failed")
+        .when(newest.isNull(), "none")
+        .when(newest < end - interval(slow), "delayed")
+        .otherwise("ok")
+    )
     return rows.select(
         "bucket_start",
-        F.coalesce("rows", F.lit(0).cast("long")).alias("rows"),
+        F.coalesce("rows", zero).alias("rows"),
         "newest",
-        lag.alias("lag_seconds"),
+        (F.timestamp_diff("MICROSECOND", newest, end) / 1e6).alias("lag_seconds"),
         "anomalies",
+        "rejected",
         status.alias("status"),
     )

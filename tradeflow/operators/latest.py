@@ -38,3 +38,8 @@ def messages(subscriptions: DataFrame, prices: DataFrame) -> DataFrame:
         prices.select("ticker", "price"), "ticker", "left"
     )
     return joined.select("sub_id", *tick_message("price", "price"))
+
+
+def tick_records(ticks: DataFrame) -> DataFrame:
+    """Ticks with high and low as the messages their subscribers receive."""
+    return ticks.select("sub_id", "bucket_end", *tick_message())

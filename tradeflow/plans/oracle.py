@@ -174,32 +174,37 @@ _ORDERS_LEFT = """
     FROM orders WHERE o_orderkey % 5 <> 0
 """
 
-_ARRIVALS = f"""
-    SELECT {_bucket('event_time', 600)} AS bucket_start, count(*) AS n, max(event_time) AS newest
-    FROM trades GROUP BY bucket_start
-"""
+def _arrivals(rule: str) -> str:
+    return (
+        f"SELECT * FROM (SELECT {_bucket('event_time', 600)} AS bucket_start, count(*) AS n,"
+        f" max(event_time) AS newest FROM trades WHERE {rule} GROUP BY bucket_start)"
+    )
 
 
-def _health(anomalies: bool, closed: str = "") -> str:
-    found = (
-        ", (SELECT count(*) FROM hours WHERE trades > 5 AND hours.bucket_start = b.bucket_start)"
-        " AS anomalies"
-    )
+def _health(counts: bool, arrived: str) -> str:
+    counted = """
+        , (SELECT count(*) FROM hours WHERE trades > 5 AND hours.bucket_start = b.bucket_start)
+            AS anomalies, coalesce(refused, 0) AS rejected
+    """
     return _trades(
         f"""
         SELECT b.bucket_start, coalesce(n, 0) AS "rows", newest,
                (epoch_us(b.bucket_start + INTERVAL 10 MINUTE) - epoch_us(newest)) / 1000000.0
                    AS lag_seconds,
-               CASE WHEN newest IS NULL THEN 'none'
+               CASE WHEN newest IS NULL AND {'refused > 0' if counts else 'false'} THEN 'failed'
+                    WHEN newest IS NULL THEN 'none'
                     WHEN newest < b.bucket_start + INTERVAL 5 MINUTE THEN 'delayed'
-                    ELSE 'ok' END AS status {found if anomalies else ''}
+                    ELSE 'ok' END AS status {counted if counts else ''}
         FROM (
             SELECT unnest(generate_series(min(bucket_start), max(bucket_start), INTERVAL 10 MINUTE))
                 AS bucket_start FROM arrived
-        ) AS b LEFT JOIN arrived ON arrived.bucket_start = b.bucket_start
+        ) AS b
+        LEFT JOIN arrived ON arrived.bucket_start = b.bucket_start
+        LEFT JOIN refusals ON refusals.bucket_start = b.bucket_start
         """,
-        every_arrival=_ARRIVALS,
-        arrived=f"SELECT * FROM every_arrival {closed}",
+        arrived=arrived,
+        refusals=f"SELECT {_bucket('event_time', 600)} AS bucket_start, count(*) AS refused"
+        " FROM trades WHERE price > 100 GROUP BY bucket_start",
         hours=_HOURS,
     )
 
@@ -344,7 +349,7 @@ def oracle_sql() -> dict[str, str]:
             """,
             hours=_HOURS,
         ),
-        "stream_health": _health(anomalies=True),
+        "stream_health": _health(True, _arrivals("price <= 100")),
         "changes_current": _ORDERS_LEFT,
         "changes_rejected": """
             SELECT CASE o_orderkey % 4 WHEN 1 THEN 'no time of change' WHEN 3 THEN 'null value'
@@ -397,6 +402,6 @@ def oracle_sql() -> dict[str, str]:
         "stream_burst": _burst(_HOUR_CLOSED),
         "stream_range": _range(_HOUR_CLOSED),
         "stream_arrivals": _health(
-            False, "WHERE " + _closed("every_arrival.bucket_start + INTERVAL 10 MINUTE")
+            False, _arrivals("true") + " WHERE " + _closed("bucket_start + INTERVAL 10 MINUTE")
         ),
     }

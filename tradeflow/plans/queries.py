@@ -12,8 +12,8 @@ from ..operators import anomaly, candles, changes, health, history, latest, qual
 from ..operators.history import HistoryQuery, TimeRange
 from ..session import work_dir
 from ..sources import (
-    append_batch,
     append_trades,
+    append_with_retry,
     customers_as_subscriptions,
     events_as_trades,
     export_json,
@@ -126,7 +126,7 @@ def append_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = event_trades(spark, sf_dir, zoned=True)
     path = work_dir(spark, "batches")
     for batch_id in (0, 1, 1):
-        append_batch(trades.where(F.col("event_id") % 2 == batch_id), path, batch_id)
+        append_with_retry(trades.where(F.col("event_id") % 2 == batch_id), path, batch_id)
     return (
         read_batches(spark, path)
         .groupBy("batch_id", "event_date")
@@ -209,8 +209,9 @@ def candles_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = candles.tick_candles(event_trades(spark, sf_dir), "10 minutes")
-    return candles.fill_gaps(found, "10 minutes")
+    trades = event_trades(spark, sf_dir)
+    found = candles.tick_candles(trades, "10 minutes")
+    return candles.fill_gaps(found, "10 minutes", candles.ticker_spans(trades, "10 minutes"))
 
 
 # Unusual trades.
@@ -268,10 +269,17 @@ def anomaly_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the trades that pass a stricter price bound, rejected ones counted."""
     trades = event_trades(spark, sf_dir)
+    good = trades.where(F.col("price") <= 100)
     found = anomaly.trade_burst(trades, "1 hour", 5)
-    arrived = health.arrivals(trades, "10 minutes")
-    return health.health(arrived, "10 minutes", found, slow="5 minutes")
+    return health.health(
+        health.arrivals(good, "10 minutes"),
+        "10 minutes",
+        found,
+        trades.where(F.col("price") > 100),
+        slow="5 minutes",
+    )
 
 
 # Change feed.
@@ -414,7 +422,7 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = windows.arrival_stream(_trade_stream(spark, sf_dir), "10 minutes", DELAY)
     state.finish(state.start(stream, f"{place}/out", f"{place}/checkpoint"))
     arrived = spark.read.schema(stream.schema).parquet(f"{place}/out")
-    rows = health.health(arrived, "10 minutes", slow="5 minutes").drop("anomalies")
+    rows = health.health(arrived, "10 minutes", slow="5 minutes").drop("anomalies", "rejected")
     return _unzoned(rows, "bucket_start", "newest")
 
 

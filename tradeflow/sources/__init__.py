@@ -10,6 +10,7 @@ from .export import export_json, export_projection
 from .storage import (
     append_batch,
     append_trades,
+    append_with_retry,
     compact_batches,
     read_batches,
     read_trades,
@@ -19,6 +20,7 @@ from .storage import (
 __all__ = [
     "append_batch",
     "append_trades",
+    "append_with_retry",
     "compact_batches",
     "customers_as_subscriptions",
     "events_as_trades",

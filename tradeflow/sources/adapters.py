@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _key_of_props() -> Column:
-    return F.from_json("props", "k BIGINT")["k"]
+    return F.get_json_object("props", "$.k").cast("long")
 
 
 def events_as_trades(events: DataFrame, zoned: bool = False) -> DataFrame:
@@ -64,37 +64,24 @@ def orders_as_change_feed(orders: DataFrame) -> DataFrame:
             F.lit("USD").alias("currency_code"),
         )
 
-    first = image(F.col("o_totalprice").cast("decimal(12,2)"))
-    second = image((F.col("o_totalprice").cast("decimal(12,2)") + 1).cast("decimal(12,2)"))
-    nothing = F.lit(None).cast(first_type(first, orders))
-    key = F.col("o_orderkey")
-
-    def change(op: str, before: Column, after: Column, at: int) -> Column:
-        return F.struct(
-            F.lit(op).alias("op"),
-            before.alias("before"),
-            after.alias("after"),
-            (key * 10 + at).alias("ts_ms"),
-        )
-
-    created = change("c", nothing, first, 1)
-    updated = change("u", first, second, 2)
-    deleted = change("d", second, nothing, 3)
-    events = F.array_compact(
+    key, op = F.col("o_orderkey"), F.col("op")
+    ops = F.array_compact(
         F.array(
-            created,
-            F.when(key % 3 == 0, updated),
-            F.when(key % 6 == 0, updated),
-            F.when(key % 5 == 0, deleted),
+            F.lit("c"),
+            F.when(key % 3 == 0, "u"),
+            F.when(key % 6 == 0, "u"),
+            F.when(key % 5 == 0, "d"),
         )
     )
-    return orders.select(F.explode(events).alias("event")).select(
-        F.to_json("event").alias("value")
+    price = F.col("o_totalprice").cast("decimal(12,2)")
+    first, second = image(price), image((price + 1).cast("decimal(12,2)"))
+    event = F.struct(
+        op.alias("op"),
+        F.when(op == "u", first).when(op == "d", second).alias("before"),
+        F.when(op == "c", first).when(op == "u", second).alias("after"),
+        (key * 10 + F.when(op == "c", 1).when(op == "u", 2).otherwise(3)).alias("ts_ms"),
     )
-
-
-def first_type(column: Column, df: DataFrame):
-    return df.select(column.alias("c")).schema["c"].dataType
+    return orders.select("*", F.explode(ops).alias("op")).select(F.to_json(event).alias("value"))
 
 
 def orders_as_requests(orders: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -85,6 +86,15 @@ def append_batch(trades: DataFrame, path: str, batch_id: int) -> int:
     return _write_counted(_by_day(trades), f"{path}/batch_id={batch_id}", "overwrite")
 
 
+def append_with_retry(trades: DataFrame, path: str, batch_id: int) -> int:
+    """Append a numbered batch, once more if it fails. A second failure is raised."""
+    try:
+        return append_batch(trades, path, batch_id)
+    except Exception:
+        logging.getLogger(__name__).exception("batch %s failed, trying again", batch_id)
+        return append_batch(trades, path, batch_id)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Trades written by ``append_batch``."""
     schema = T.StructType([*STORED.fields, T.StructField("batch_id", T.LongType())])

@@ -1,3 +1,3 @@
-from . import anomaly, changes, state, subscriptions, windows
+from . import anomaly, changes, sinks, state, subscriptions, windows
 
-__all__ = ["anomaly", "changes", "state", "subscriptions", "windows"]
+__all__ = ["anomaly", "changes", "sinks", "state", "subscriptions", "windows"]

@@ -145,20 +145,32 @@ def read_ticks(spark: SparkSession, out: str, sub_id: str | None = None) -> Data
     return _held(ticks, spans).groupBy("sub_id", "ticker", "tick", "bucket_end").agg(*_merged())
 
 
-def read_shared_ticks(spark: SparkSession, out: str) -> DataFrame:
-    """Each tick once, with the number of subscribers who had chosen it at its end."""
+def followers(spark: SparkSession, out: str) -> DataFrame:
+    """How many subscribers had each setting in each batch with ticks or changes.
+
+    A running sum of arrivals and leavings, which stays linear in their number.
+    """
     spans = setting_spans(spark, out)
-    followers = spans.groupBy("ticker", "tick", "since", "until").agg(
-        F.count(F.lit(1)).alias("subscribers")
+    came = spans.select("ticker", "tick", F.col("since").alias("batch_id"), F.lit(1).alias("step"))
+    left = spans.where(F.col("until").isNotNull()).select(
+        "ticker", "tick", F.col("until").alias("batch_id"), F.lit(-1).alias("step")
     )
-    ticks = state.read_all(spark, TICK, f"{out}/ticks")
-    per_batch = _held(ticks, followers).groupBy("ticker", "tick", "bucket_end", "batch_id").agg(
-        F.sum("subscribers").alias("subscribers"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max("trades").alias("trades"),
+    seen = state.read_all(spark, TICK, f"{out}/ticks").select(
+        "ticker", "tick", "batch_id", F.lit(0).alias("step")
     )
-    return per_batch.groupBy("ticker", "tick", "bucket_end").agg(
+    steps = came.unionByName(left).unionByName(seen).groupBy("ticker", "tick", "batch_id").agg(
+        F.sum("step").alias("step")
+    )
+    so_far = Window.partitionBy("ticker", "tick").orderBy("batch_id")
+    counted = steps.withColumn("subscribers", F.sum("step").over(so_far))
+    return counted.drop("step")
+
+
+def read_shared_ticks(spark: SparkSession, out: str) -> DataFrame:
+    """Each tick once, with the number of subscribers who had chosen it at its end."""
+    ticks = state.read_all(spark, TICK, f"{out}/ticks")
+    joined = ticks.join(followers(spark, out), ["ticker", "tick", "batch_id"])
+    return joined.groupBy("ticker", "tick", "bucket_end").agg(
         F.max_by("subscribers", "batch_id").alias("subscribers"), *_merged()
     )
 
