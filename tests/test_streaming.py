@@ -195,13 +195,16 @@ def test_due_messages_follow_each_tick(spark, make):
 
 
 @pytest.mark.parametrize("rows_per_task", [1_000_000, 40])
-@pytest.mark.parametrize("name", ["zscore", "jump"])
+@pytest.mark.parametrize("name", ["zscore", "both"])
 def test_ordered_rules_over_a_stream_equal_the_batch(
     spark, make, feed_files, stream_of, tmp_path, name, rows_per_task
 ):
     rule, batch = {
-        "zscore": (rules.zscore_rule(20, 2.0), lambda df: anomaly.price_zscore(df, 20, 2.0)),
-        "jump": (rules.jump_rule(3.0), lambda df: anomaly.price_jump(df, 3.0)),
+        "zscore": (rules.price_rules(20, 2.0, None), lambda df: anomaly.price_zscore(df, 20, 2.0)),
+        "both": (
+            rules.price_rules(20, 2.0, 3.0),
+            lambda df: anomaly.price_zscore(df, 20, 2.0).unionByName(anomaly.price_jump(df, 3.0)),
+        ),
     }[name]
     rows = _rows(500)
     parts = _spread(rows, 5)
@@ -209,7 +212,7 @@ def test_ordered_rules_over_a_stream_equal_the_batch(
         folder = feed_files(n, part)
         if n in (2, 4):
             # Started twice: the second run resumes from the checkpoint.
-            query = rules.start_rule(
+            query = rules.start_rules(
                 stream_of(folder), rule, f"{tmp_path}/out", f"{tmp_path}/cp", "3 minutes",
                 rows_per_task=rows_per_task,
             )
@@ -219,7 +222,9 @@ def test_ordered_rules_over_a_stream_equal_the_batch(
     got = rules.read_anomalies(spark, f"{tmp_path}/out")
 
     def shown(df):
-        return sorted((r["ticker"], r["event_time"], round(r["score"], 9)) for r in df.collect())
+        return sorted(
+            (r["ticker"], r["event_time"], r["rule"], round(r["score"], 9)) for r in df.collect()
+        )
 
     assert shown(got) == shown(wanted) and shown(got)
     assert rules.count_late(spark, f"{tmp_path}/out") == 0
@@ -228,8 +233,8 @@ def test_ordered_rules_over_a_stream_equal_the_batch(
 def test_rows_behind_the_closed_time_are_kept_apart(spark, feed_files, stream_of, tmp_path):
     feed_files(0, [trade(1, 10), trade(2, 1000)])
     folder = feed_files(1, [trade(3, 20), trade(4, 2000)])
-    query = rules.start_rule(
-        stream_of(folder), rules.jump_rule(), f"{tmp_path}/out", f"{tmp_path}/cp", "1 minute"
+    query = rules.start_rules(
+        stream_of(folder), rules.price_rules(), f"{tmp_path}/out", f"{tmp_path}/cp", "1 minute"
     )
     state.finish(query)
     assert rules.count_late(spark, f"{tmp_path}/out") == 1
@@ -240,8 +245,8 @@ def test_volume_spike_over_closed_windows(spark, make, feed_files, stream_of, tm
     for n, part in enumerate(_spread(rows, 5)):
         folder = feed_files(n, part)
     stream = windows.volume_stream(stream_of(folder), "1 minute", "2 minutes")
-    rule = rules.spike_rule(5, 1.5)
-    query = rules.start_rule(stream, rule, f"{tmp_path}/out", f"{tmp_path}/cp", None)
+    rule = rules.volume_rules(5, 1.5)
+    query = rules.start_rules(stream, rule, f"{tmp_path}/out", f"{tmp_path}/cp", None)
     state.finish(query)
     mark = max(r[0] for r in rows) - timedelta(minutes=2)
     wanted = anomaly.volume_spike(make(rows), "1 minute", 5, 1.5).where(
@@ -289,7 +294,7 @@ def test_source_of_changes_is_named_once(spark):
 def test_window_anomalies_go_out_as_text(spark, make, feed_files, stream_of, tmp_path):
     rows = [trade(i, i) for i in range(30)] + [trade(99, 4000)]
     folder = feed_files(0, rows)
-    found = windows.burst_stream(stream_of(folder), "1 minute", "1 minute", 20)
+    found = windows.bucket_rule_stream(stream_of(folder), "1 minute", "1 minute", 20)
     text = anomaly.as_messages(anomaly.select_anomalies(found, ["AAPL"], ["burst"]))
     query = sinks.start_messages(text, f"{tmp_path}/cp", path=f"{tmp_path}/out")
     state.finish(query)

@@ -2,18 +2,23 @@ from .scalar import (
     bucket_start,
     exact_total,
     interval,
+    interval_seconds,
     iso_text,
     price_cents,
     round_price,
     same_clock,
 )
+from .sizing import plan_bytes, scan_tasks
 
 __all__ = [
     "bucket_start",
     "exact_total",
     "interval",
+    "interval_seconds",
     "iso_text",
+    "plan_bytes",
     "price_cents",
     "round_price",
     "same_clock",
+    "scan_tasks",
 ]

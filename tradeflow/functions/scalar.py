@@ -18,6 +18,12 @@ def interval(width: str) -> Column:
     return F.expr(f"INTERVAL {width}")
 
 
+def interval_seconds(width: str) -> int:
+    interval(width)
+    number, unit = width.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
 def bucket_start(time: str, width: str) -> Column:
     """Start of the epoch-aligned bucket that holds ``time``.
 

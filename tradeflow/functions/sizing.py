@@ -1,0 +1,22 @@
+"""Sizes that decide between a plan for small inputs and one for any input."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimizer expects ``df`` to hold; for a scan, the size of its files.
+
+    Filters do not lower it, so it errs on the large side.
+    """
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def scan_tasks(df: DataFrame) -> int:
+    """About how many tasks a scan of that size is cut into."""
+    text = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text.strip().lower()).groups()
+    return plan_bytes(df) // max(1, int(number) * 1024 ** " kmgt".index(unit or " "))

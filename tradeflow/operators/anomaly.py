@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import bucket_start, iso_text, same_clock
+from ..functions import bucket_start, interval_seconds, iso_text, same_clock
 from ..schema import ANOMALY
 from .ordered import ROWS_PER_TASK, over_preceding
 
@@ -31,12 +32,24 @@ def record(time: str, rule: str, score: Column, **evidence: Column) -> list[Colu
     ]
 
 
-# Rules over preceding rows. Each is a pair: the window columns, and how flagged
-# rows become records. Batch and stream use the same pairs.
+# A rule is a condition and the record of the rows that meet it.
+Rule = tuple[Column, list[Column]]
+
+
+def emit(rows: DataFrame, *rules: Rule) -> DataFrame:
+    """The records of all rules, in one pass over the rows."""
+    if len(rules) == 1:
+        condition, columns = rules[0]
+        return rows.where(condition).select(*columns)
+    found = [F.when(condition, F.struct(*columns)) for condition, columns in rules]
+    return rows.select(F.inline(F.array_compact(F.array(*found))))
+
+
+# Rules over preceding rows need window columns. Batch and stream use the same.
 
 
 def zscore_columns(window: WindowSpec, length: int = 20) -> dict[str, Column]:
-    """Mean and sample deviation of the previous ``length`` prices, current one excluded.
+    """Sums over the previous ``length`` prices, the current one excluded.
 
     Whole cents are summed, which is exact in doubles for valid prices: a flat
     price has a deviation of exactly zero.
@@ -44,106 +57,123 @@ def zscore_columns(window: WindowSpec, length: int = 20) -> dict[str, Column]:
     before = window.rowsBetween(-length, -1)
     cents = F.round(F.col("price").cast("double") * 100)
     return {
-        "_n": F.count(F.lit(1)).over(before),
+        "_cents": cents,
+        "_prices": F.count(F.lit(1)).over(before),
         "_sum": F.sum(cents).over(before),
         "_squares": F.sum(cents * cents).over(before),
-        "_cents": cents,
     }
 
 
-def zscore_records(rows: DataFrame, length: int = 20, least: float = 3.0) -> DataFrame:
+def zscore_rule(length: int = 20, least: float = 3.0) -> Rule:
+    """At least ``least`` sample deviations from the mean of the previous prices."""
     spread = F.col("_squares") * length - F.col("_sum") * F.col("_sum")
-    deviation = F.sqrt(spread / (length * (length - 1)))
+    deviation = F.sqrt(F.nullif(spread, F.lit(0.0)) / (length * (length - 1)))
     mean = F.col("_sum") / length
-    enough = rows.where((F.col("_n") == length) & (spread > 0))
     z = (F.col("_cents") - mean) / deviation
-    return enough.where(F.abs(z) >= least).select(
-        *record(
-            "event_time",
-            "price_zscore",
-            z,
-            price=F.col("price"),
-            mean=mean / 100,
-            deviation=deviation / 100,
-        )
-    )
+    numbers = {"price": F.col("price"), "mean": mean / 100, "deviation": deviation / 100}
+    condition = (F.col("_prices") == length) & (spread > 0) & (F.abs(z) >= least)
+    return condition, record("event_time", "price_zscore", z, **numbers)
 
 
 def jump_columns(window: WindowSpec) -> dict[str, Column]:
     return {"_previous": F.lag("price").over(window)}
 
 
-def jump_records(rows: DataFrame, least: float = 0.5) -> DataFrame:
+def jump_rule(least: float = 0.5) -> Rule:
+    """Away from the previous price by at least ``least`` of it."""
     change = F.col("price").cast("double") / F.nullif("_previous", F.lit(0)) - 1
-    return rows.where(F.abs(change) >= least).select(
-        *record(
-            "event_time",
-            "price_jump",
-            change,
-            price=F.col("price"),
-            previous=F.col("_previous"),
-        )
-    )
+    numbers = {"price": F.col("price"), "previous": F.col("_previous")}
+    return F.abs(change) >= least, record("event_time", "price_jump", change, **numbers)
 
 
 def spike_columns(window: WindowSpec, length: int = 5) -> dict[str, Column]:
     before = window.rowsBetween(-length, -1)
     return {
-        "_n": F.count(F.lit(1)).over(before),
-        "_sum": F.sum("volume").over(before),
+        "_buckets": F.count(F.lit(1)).over(before),
+        "_volumes": F.sum("volume").over(before),
     }
 
 
-def spike_records(rows: DataFrame, length: int = 5, times: float = 3.0) -> DataFrame:
-    mean = F.col("_sum") / length
-    flagged = rows.where((F.col("_n") == length) & (F.col("volume") >= mean * times))
-    return flagged.select(
-        *record(
-            "bucket_start",
-            "volume_spike",
-            F.col("volume") / mean,
-            volume=F.col("volume"),
-            mean=mean,
-        )
-    )
+def spike_rule(length: int = 5, times: float = 3.0) -> Rule:
+    """At least ``times`` the mean volume of the previous buckets."""
+    mean, volume = F.col("_volumes") / length, F.col("volume")
+    condition = (F.col("_buckets") == length) & (volume >= mean * times)
+    ratio = volume / F.nullif(mean, F.lit(0.0))
+    return condition, record("bucket_start", "volume_spike", ratio, volume=volume, mean=mean)
+
+
+# Rules within one bucket need no order, only aggregates.
+
+
+def bucket_measures() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("trades"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.sum("volume").alias("volume"),
+    ]
+
+
+def burst_rule(most: int) -> Rule:
+    trades = F.col("trades")
+    return trades > most, record("bucket_start", "burst", trades, trades=trades, limit=F.lit(most))
+
+
+def range_rule(least: float) -> Rule:
+    high, low = F.col("high").cast("double"), F.col("low").cast("double")
+    width = (high - low) / F.nullif(low, F.lit(0.0))
+    return width >= least, record("bucket_start", "range", width, high=high, low=low)
+
+
+# Batch forms.
+
+
+def _with_previous_prices(trades: DataFrame, reach: int, columns, rows_per_task: int) -> DataFrame:
+    pruned = trades.select("ticker", *ORDER, "price")
+    return over_preceding(pruned, "ticker", ORDER, reach, columns, rows_per_task)
 
 
 def price_zscore(
     trades: DataFrame, length: int = 20, least: float = 3.0, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Trades whose price is far from the previous ``length`` prices of the ticker."""
-    rows = over_preceding(
-        trades.select("ticker", *ORDER, "price"),
-        "ticker",
-        ORDER,
-        length,
-        lambda window: zscore_columns(window, length),
-        rows_per_task,
+    rows = _with_previous_prices(
+        trades, length, lambda window: zscore_columns(window, length), rows_per_task
     )
-    return zscore_records(rows, length, least)
+    return emit(rows, zscore_rule(length, least))
 
 
 def price_jump(
     trades: DataFrame, least: float = 0.5, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Trades whose price differs from the previous one by ``least`` or more of it."""
-    rows = over_preceding(
-        trades.select("ticker", *ORDER, "price"),
-        "ticker",
-        ORDER,
-        1,
-        jump_columns,
-        rows_per_task,
-    )
-    return jump_records(rows, least)
+    rows = _with_previous_prices(trades, 1, jump_columns, rows_per_task)
+    return emit(rows, jump_rule(least))
+
+
+def buckets(trades: DataFrame, width: str) -> DataFrame:
+    """Trades, price bounds and volume per ticker and bucket."""
+    bucketed = trades.withColumn("bucket_start", bucket_start("event_time", width))
+    return bucketed.groupBy("ticker", "bucket_start").agg(*bucket_measures())
 
 
-def bucket_volumes(trades: DataFrame, width: str) -> DataFrame:
-    """Volume per ticker and bucket, the input of the spike rule."""
-    return (
-        trades.withColumn("bucket_start", bucket_start("event_time", width))
-        .groupBy("ticker", "bucket_start")
-        .agg(F.sum("volume").alias("volume"))
+def _with_previous_buckets(
+    trades: DataFrame, width: str, length: int, rows_per_task: int
+) -> DataFrame:
+    # No ticker can have more buckets than the whole span holds. Reading one
+    # column for that is cheaper than building the buckets twice.
+    step = interval_seconds(width)
+    second = F.unix_seconds(F.col("event_time").cast("timestamp"))
+    span = trades.agg(F.min(second).alias("first"), F.max(second).alias("last")).first()
+    most = 0 if span["first"] is None else (span["last"] - span["first"]) // step + 2
+    return over_preceding(
+        buckets(trades, width),
+        "ticker",
+        ("bucket_start",),
+        length,
+        lambda window: spike_columns(window, length),
+        rows_per_task,
+        most,
     )
 
 
@@ -158,71 +188,56 @@ def volume_spike(
 
     Buckets without trades do not count as previous ones.
     """
-    rows = over_preceding(
-        bucket_volumes(trades, width),
-        "ticker",
-        ("bucket_start",),
-        length,
-        lambda window: spike_columns(window, length),
-        rows_per_task,
-    )
-    return spike_records(rows, length, times)
-
-
-# Rules within one bucket need no order, only aggregates.
-
-
-def bucket_measures() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("trades"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-    ]
+    rows = _with_previous_buckets(trades, width, length, rows_per_task)
+    return emit(rows, spike_rule(length, times))
 
 
-def burst_records(buckets: DataFrame, most: int) -> DataFrame:
-    trades = F.col("trades")
-    return buckets.where(trades > most).select(
-        *record("bucket_start", "burst", trades, trades=trades, limit=F.lit(most))
-    )
+def trade_burst(trades: DataFrame, width: str = "1 hour", most: int = 10) -> DataFrame:
+    """Buckets with more than ``most`` trades of a ticker."""
+    return emit(buckets(trades, width), burst_rule(most))
 
 
-def range_records(buckets: DataFrame, least: float) -> DataFrame:
-    high, low = F.col("high").cast("double"), F.col("low").cast("double")
-    width = (high - low) / F.nullif(low, F.lit(0.0))
-    return buckets.where(width >= least).select(
-        *record("bucket_start", "range", width, high=high, low=low)
-    )
-
+def price_range(trades: DataFrame, width: str = "1 hour", least: float = 5.0) -> DataFrame:
+    """Buckets in which the price spans ``least`` times its low or more."""
+    return emit(buckets(trades, width), range_rule(least))
 
-def _buckets(trades: DataFrame, width: str) -> DataFrame:
-    bucketed = trades.withColumn("bucket_start", bucket_start("event_time", width))
-    return bucketed.groupBy("ticker", "bucket_start").agg(*bucket_measures())
 
+@dataclass(frozen=True)
+class Limits:
+    """Limits of all rules."""
 
-def trade_burst(trades: DataFrame, width: str = "1 hour", most: int = 10) -> DataFrame:
-    """Buckets with more than ``most`` trades of a ticker."""
-    return burst_records(_buckets(trades, width), most)
+    prices: int = 20
+    zscore: float = 3.0
+    jump: float = 0.5
+    volumes: int = 5
+    spike: float = 3.0
+    burst: int = 10
+    range: float = 5.0
 
 
-def price_range(trades: DataFrame, width: str = "1 hour", least: float = 5.0) -> DataFrame:
-    """Buckets in which the price spans ``least`` times its low or more."""
-    return range_records(_buckets(trades, width), least)
+def all_rules(
+    trades: DataFrame,
+    width: str = "1 hour",
+    limits: Limits = Limits(),
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """The anomalies of every rule: one pass over the prices, one over the buckets."""
 
+    def price_columns(window: WindowSpec) -> dict[str, Column]:
+        return {**zscore_columns(window, limits.prices), **jump_columns(window)}
 
-def all_rules(trades: DataFrame, width: str = "1 hour") -> DataFrame:
-    """The anomalies of every rule, with default limits."""
-    found = [
-        price_zscore(trades),
-        price_jump(trades),
-        volume_spike(trades, width),
-        trade_burst(trades, width),
-        price_range(trades, width),
-    ]
-    union = found[0]
-    for other in found[1:]:
-        union = union.unionByName(other)
-    return union
+    by_price = emit(
+        _with_previous_prices(trades, limits.prices, price_columns, rows_per_task),
+        zscore_rule(limits.prices, limits.zscore),
+        jump_rule(limits.jump),
+    )
+    by_bucket = emit(
+        _with_previous_buckets(trades, width, limits.volumes, rows_per_task),
+        spike_rule(limits.volumes, limits.spike),
+        burst_rule(limits.burst),
+        range_rule(limits.range),
+    )
+    return by_price.unionByName(by_bucket)
 
 
 def select_anomalies(

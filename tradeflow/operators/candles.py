@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bucket_start, exact_total, interval, price_cents
+from ..functions import bucket_start, exact_total, interval, interval_seconds, price_cents
 
 
 def tick_candles(trades: DataFrame, width: str) -> DataFrame:
@@ -108,7 +108,7 @@ def calendar(spans: DataFrame, width: str) -> DataFrame:
     buckets of each block, so that neither an array nor a task has to hold a
     whole long span. A width need not divide a day: blocks are whole buckets.
     """
-    step, block = interval(width), interval(width) * max(1, 86400 // _seconds(width))
+    step, block = interval(width), interval(width) * max(1, 86400 // interval_seconds(width))
     tasks = spans.sparkSession.sparkContext.defaultParallelism
     names = [name for name in spans.columns if name not in ("first", "last")]
     blocks = spans.withColumn("_block", F.explode(F.sequence("first", "last", block)))
@@ -118,11 +118,6 @@ def calendar(spans: DataFrame, width: str) -> DataFrame:
     )
 
 
-def _seconds(width: str) -> int:
-    number, unit = width.split()
-    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
-
-
 def ticker_spans(trades: DataFrame, width: str) -> DataFrame:
     """First and last bucket of every ticker, from two columns of the trades."""
     spans = trades.groupBy("ticker").agg(

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import plan_bytes
 from ..schema import TRADE_COLUMNS
 
+# Ids of changes from files up to this size are broadcast; larger ones are joined
+# by a shuffle.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 
 def _age() -> Column:
     """Order of changes to one row: time, position in the feed, then c < u < d."""
@@ -38,31 +43,45 @@ def apply_changes(changes: DataFrame) -> DataFrame:
     return visible_rows(newest_changes(changes))
 
 
+def merge_changes(settled: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Newest change per row from a large settled state and some fresh changes.
+
+    ``settled`` has one change per row. Rows that no fresh change touches pass
+    through; only the others are grouped again. Where the fresh changes are
+    small enough to broadcast their ids, the settled state is not shuffled.
+    """
+    columns = ["event_id", "position", "op", "ts_ms", "after"]
+    settled, newest = settled.select(*columns), newest_changes(fresh)
+    touched = newest.select("event_id")
+    if plan_bytes(fresh) <= BROADCAST_BYTES:
+        touched = F.broadcast(touched)
+    untouched = settled.join(touched, "event_id", "left_anti")
+    others = settled.join(touched, "event_id", "left_semi")
+    again = newest_changes(others.unionByName(newest.select(*columns)))
+    return untouched.unionByName(again.select(*columns))
+
+
 def as_changes(trades: DataFrame) -> DataFrame:
     """Existing trades as the oldest changes: a feed without snapshot lacks them."""
+    row = {
+        "event_time": F.col("event_time").cast("timestamp"),
+        "event_id": F.col("event_id").cast("string"),
+        "price": F.col("price").cast("double"),
+        "volume": F.col("volume").cast("long"),
+    }
+    after = F.struct(*[row.get(name, F.col(name)).alias(name) for name in TRADE_COLUMNS])
     return trades.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.lit(None).cast("long").alias("position"),
         F.lit("r").alias("op"),
         F.lit(0).cast("long").alias("ts_ms"),
-        F.struct(
-            F.col("event_time").cast("timestamp").alias("event_time"),
-            F.col("event_id").cast("string").alias("event_id"),
-            "ticker",
-            F.col("price").cast("double").alias("price"),
-            F.col("volume").cast("long").alias("volume"),
-            "trade_type",
-            "trade_id",
-            "market_code",
-            "currency_code",
-        ).alias("after"),
+        after.alias("after"),
     )
 
 
 def bootstrap(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """Current trades from an existing table and the changes after it."""
-    columns = ["event_id", "position", "op", "ts_ms", "after"]
-    return apply_changes(as_changes(table).unionByName(changes.select(*columns)))
+    """Current trades from a table with unique ids and the changes after it."""
+    return visible_rows(merge_changes(as_changes(table), changes))
 
 
 def without_copies(trades: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import iso_text, same_clock
+from ..functions import iso_text, same_clock, scan_tasks
 from .quality import TRADE_TYPES
 
 # Fixed value: rows of one history answer.
@@ -156,18 +156,10 @@ def newest(trades: DataFrame, limit: int, lanes: int | None = None) -> DataFrame
 
 def _lanes(df: DataFrame) -> int:
     """Enough lanes that no merge sees the results of too many tasks."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    per_task = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
-    tasks = size // max(1, _bytes(per_task))
+    tasks = scan_tasks(df)
     return math.isqrt(tasks) if tasks > MERGE_FAN_IN else 1
 
 
-def _bytes(text: str) -> int:
-    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", text.strip().lower()).groups()
-    scale = {"": 0, "b": 0, "k": 1, "kb": 1, "m": 2, "mb": 2, "g": 3, "gb": 3, "t": 4, "tb": 4}
-    return int(number) * 1024 ** scale[unit]
-
-
 def history(
     trades: DataFrame,
     query: HistoryQuery = HistoryQuery(),

@@ -27,12 +27,16 @@ def over_preceding(
     reach: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
     rows_per_task: int = ROWS_PER_TASK,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add ``columns(window)``, which may look back at most ``reach`` rows of the key.
 
     ``df`` is read several times when a key is huge: pass a pruned scan. Rows
-    that agree in all of ``order`` should be copies of each other.
+    that agree in all of ``order`` should be copies of each other. ``at_most`` is
+    a number of rows that no key exceeds, where the caller knows one.
     """
+    if at_most is not None and at_most <= rows_per_task:
+        return df.withColumns(columns(Window.partitionBy(key).orderBy(*order)))
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     size = counts.agg(F.max("rows").alias("largest"), F.sum("rows").alias("total")).first()
     if (size["largest"] or 0) <= rows_per_task:

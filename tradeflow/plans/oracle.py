@@ -336,6 +336,10 @@ def oracle_sql() -> dict[str, str]:
         "anomaly_volume": _spike(),
         "anomaly_burst": _burst(),
         "anomaly_range": _range(),
+        "anomaly_all": " UNION ALL ".join(
+            f"SELECT event_type, event_time, ticker, rule, round(score, 6) AS score FROM ({rule})"
+            for rule in (_zscore(), _jump(), _spike(), _burst(), _range())
+        ),
         "anomaly_messages": _trades(
             """
             SELECT ticker,

@@ -259,6 +259,12 @@ def anomaly_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(anomaly.price_range(event_trades(spark, sf_dir), "1 hour", 50.0), "high", "low")
 
 
+def anomaly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = anomaly.Limits(jump=5.0, burst=5, range=50.0)
+    found = anomaly.all_rules(event_trades(spark, sf_dir), "1 hour", limits, FEW_ROWS)
+    return _flat(found)
+
+
 def anomaly_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of two tickers in a span of time, as framed text."""
     found = anomaly.trade_burst(event_trades(spark, sf_dir), "1 hour", 5)
@@ -382,10 +388,10 @@ def stream_changes_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unzoned(stream_changes.read_current(spark, f"{place}/out"), "event_time")
 
 
-def _rule_stream(name: str, rule: stream_rules.OrderedRule, *evidence: str) -> Query:
+def _rule_stream(name: str, rule: stream_rules.OrderedRules, *evidence: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = work_dir(spark, name)
-        query = stream_rules.start_rule(
+        query = stream_rules.start_rules(
             _trade_stream(spark, sf_dir), rule, f"{place}/out", f"{place}/checkpoint", "12 hours"
         )
         state.finish(query)
@@ -398,8 +404,8 @@ def _rule_stream(name: str, rule: stream_rules.OrderedRule, *evidence: str) -> Q
 def stream_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_dir(spark, "volume")
     stream = windows.volume_stream(_trade_stream(spark, sf_dir), "1 hour", DELAY)
-    rule = stream_rules.spike_rule()
-    query = stream_rules.start_rule(stream, rule, f"{place}/out", f"{place}/checkpoint", None)
+    rule = stream_rules.volume_rules()
+    query = stream_rules.start_rules(stream, rule, f"{place}/out", f"{place}/checkpoint", None)
     state.finish(query)
     found = stream_rules.read_anomalies(spark, f"{place}/out")
     return _unzoned(_flat(found, "volume", "mean"), "event_time")
@@ -459,6 +465,7 @@ def queries() -> dict[str, Query]:
         "anomaly_volume": anomaly_volume,
         "anomaly_burst": anomaly_burst,
         "anomaly_range": anomaly_range,
+        "anomaly_all": anomaly_all,
         "anomaly_messages": anomaly_messages,
         "stream_health": stream_health,
         "changes_current": changes_current,
@@ -472,15 +479,15 @@ def queries() -> dict[str, Query]:
         "stream_sampler": stream_sampler,
         "stream_changes_current": stream_changes_current,
         "stream_zscore": _rule_stream(
-            "zscore", stream_rules.zscore_rule(), "price", "mean", "deviation"
+            "zscore", stream_rules.price_rules(jump=None), "price", "mean", "deviation"
         ),
-        "stream_jump": _rule_stream("jump", stream_rules.jump_rule(5.0), "price", "previous"),
+        "stream_jump": _rule_stream("jump", stream_rules.price_rules(zscore=None, jump=5.0), "price", "previous"),
         "stream_volume": stream_volume,
         "stream_burst": _window_rule(
-            "burst", lambda trades: windows.burst_stream(trades, "1 hour", DELAY, 5), "trades", "limit"
+            "burst", lambda trades: windows.bucket_rule_stream(trades, "1 hour", DELAY, burst=5), "trades", "limit"
         ),
         "stream_range": _window_rule(
-            "range", lambda trades: windows.range_stream(trades, "1 hour", DELAY, 50.0), "high", "low"
+            "range", lambda trades: windows.bucket_rule_stream(trades, "1 hour", DELAY, price_range=50.0), "high", "low"
         ),
         "stream_arrivals": stream_arrivals,
     }

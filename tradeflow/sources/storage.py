@@ -67,6 +67,8 @@ def _write_counted(days: DataFrame, path: str, mode: str) -> int:
     (
         days.observe(counted, F.count(F.lit(1)).alias("rows"))
         .write.mode(mode)
+        # Overwriting must drop every day of the old batch, whatever the session says.
+        .option("partitionOverwriteMode", "static")
         .partitionBy("event_date")
         .parquet(path)
     )

@@ -25,48 +25,45 @@ from . import state
 
 
 @dataclass(frozen=True)
-class OrderedRule:
-    """A rule over the ``reach`` rows of a ticker before the current one."""
+class OrderedRules:
+    """Rules over the ``reach`` rows of a ticker before the current one."""
 
     time: str
     order: tuple[str, ...]
     value: str
     reach: int
     columns: Callable[[WindowSpec], dict[str, Column]]
-    records: Callable[[DataFrame], DataFrame]
+    rules: Callable[[], list[anomaly.Rule]]
 
 
-def zscore_rule(length: int = 20, least: float = 3.0) -> OrderedRule:
-    return OrderedRule(
-        "event_time",
-        anomaly.ORDER,
-        "price",
-        length,
-        lambda window: anomaly.zscore_columns(window, length),
-        lambda rows: anomaly.zscore_records(rows, length, least),
-    )
+def price_rules(
+    length: int = 20, zscore: float | None = 3.0, jump: float | None = 0.5
+) -> OrderedRules:
+    """The z-score and the jump rule in one stream; None leaves a rule out."""
 
+    def columns(window: WindowSpec) -> dict[str, Column]:
+        return {**anomaly.zscore_columns(window, length), **anomaly.jump_columns(window)}
 
-def jump_rule(least: float = 0.5) -> OrderedRule:
-    return OrderedRule(
-        "event_time",
-        anomaly.ORDER,
-        "price",
-        1,
-        anomaly.jump_columns,
-        lambda rows: anomaly.jump_records(rows, least),
-    )
+    def rules() -> list[anomaly.Rule]:
+        chosen = []
+        if zscore is not None:
+            chosen.append(anomaly.zscore_rule(length, zscore))
+        if jump is not None:
+            chosen.append(anomaly.jump_rule(jump))
+        return chosen
+
+    return OrderedRules("event_time", anomaly.ORDER, "price", length, columns, rules)
 
 
-def spike_rule(length: int = 5, times: float = 3.0) -> OrderedRule:
+def volume_rules(length: int = 5, times: float = 3.0) -> OrderedRules:
     """For the volumes of closed windows, as ``windows.volume_stream`` gives them."""
-    return OrderedRule(
+    return OrderedRules(
         "bucket_start",
         ("bucket_start",),
         "volume",
         length,
         lambda window: anomaly.spike_columns(window, length),
-        lambda rows: anomaly.spike_records(rows, length, times),
+        lambda: [anomaly.spike_rule(length, times)],
     )
 
 
@@ -78,16 +75,16 @@ def _micros(delay: str) -> int:
     return timedelta(**{unit + "s": int(number)}) // timedelta(microseconds=1)
 
 
-def start_rule(
+def start_rules(
     stream: DataFrame,
-    rule: OrderedRule,
+    rule: OrderedRules,
     path: str,
     checkpoint: str,
     delay: str | None,
     every: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> StreamingQuery:
-    """Write the anomalies of an ordered rule, per batch, below ``path``.
+    """Write the anomalies of ordered rules, per batch, below ``path``.
 
     ``delay`` is how far rows may come behind the newest one. None says that the
     rows are final as they come, such as closed windows.
@@ -133,7 +130,7 @@ def start_rule(
             judged = over_preceding(
                 rows, "ticker", rule.order, rule.reach, rule.columns, rows_per_task
             )
-            found = rule.records(judged.where("_new"))
+            found = anomaly.emit(judged.where("_new"), *rule.rules())
             state.write_batch(found, f"{path}/anomalies", batch_id)
             back = Window.partitionBy("ticker").orderBy(*[F.desc(name) for name in rule.order])
             tail = rows.withColumn("_back", F.row_number().over(back))

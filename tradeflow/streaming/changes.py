@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import newest_changes, visible_rows
+from ..operators.changes import merge_changes, newest_changes, visible_rows
 from ..schema import TRADE_RAW
 from ..sources.changes import parse_changes, split_changes
 from . import state
@@ -50,14 +51,17 @@ def _merged(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Newest change per row from the last snapshot and the log after it."""
     snapshots = state.finished_batches(spark, f"{path}/snapshot")
     logged = state.finished_batches(spark, f"{path}/log")
-    covered = snapshots[-1] if snapshots else -1
-    parts = [state.read_batch(spark, CHANGE, f"{path}/snapshot", n) for n in snapshots[-1:]]
-    log = state.read_all(spark, CHANGE, f"{path}/log") if logged else spark.createDataFrame([], CHANGE)
-    if logged:
-        log = log.where((log.batch_id > covered) & (log.batch_id <= logged[-1])).drop("batch_id")
-    for part in parts:
-        log = log.unionByName(part)
-    return newest_changes(log), max([covered, *logged])
+    covered, upto = max(snapshots, default=-1), max(logged, default=-1)
+    if upto <= covered:
+        log = spark.createDataFrame([], CHANGE)
+    else:
+        batch = F.col("batch_id")
+        log = state.read_all(spark, CHANGE, f"{path}/log")
+        log = log.where((batch > covered) & (batch <= upto)).drop("batch_id")
+    if not snapshots:
+        return newest_changes(log), upto
+    snapshot = state.read_batch(spark, CHANGE, f"{path}/snapshot", covered)
+    return merge_changes(snapshot, log), max(covered, upto)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
@@ -77,4 +81,5 @@ def compact(spark: SparkSession, path: str) -> None:
     """
     merged, upto = _merged(spark, path)
     if upto >= 0 and upto not in state.finished_batches(spark, f"{path}/snapshot"):
-        state.write_batch(merged, f"{path}/snapshot", upto)
+        columns = [field.name for field in CHANGE.fields]
+        state.write_batch(merged.select(*columns), f"{path}/snapshot", upto)

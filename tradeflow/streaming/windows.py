@@ -60,12 +60,18 @@ def arrival_stream(trades: DataFrame, width: str, delay: str | None) -> DataFram
     return windowed(trades, width, delay, measures)
 
 
-def burst_stream(trades: DataFrame, width: str, delay: str | None, most: int) -> DataFrame:
-    buckets = windowed(trades, width, delay, anomaly.bucket_measures(), "ticker")
-    return anomaly.burst_records(buckets, most)
-
-
-def range_stream(trades: DataFrame, width: str, delay: str | None, least: float) -> DataFrame:
+def bucket_rule_stream(
+    trades: DataFrame,
+    width: str,
+    delay: str | None,
+    burst: int | None = None,
+    price_range: float | None = None,
+) -> DataFrame:
+    """Anomalies of closed windows: too many trades, too wide a range, or both rules."""
+    rules = []
+    if burst is not None:
+        rules.append(anomaly.burst_rule(burst))
+    if price_range is not None:
+        rules.append(anomaly.range_rule(price_range))
     buckets = windowed(trades, width, delay, anomaly.bucket_measures(), "ticker")
-    return anomaly.range_records(buckets, least)
-
+    return anomaly.emit(buckets, *rules)
