@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import trade
-from tradeflow.operators import anomaly
+from tradeflow.operators import anomaly, ordered
 from tradeflow.operators.ordered import over_preceding
 
 
@@ -61,6 +61,24 @@ def test_runs_shorter_than_the_reach(make, rows_per_task):
     assert got == wanted
 
 
+@pytest.mark.parametrize("rows_per_task,quick", [(1000, True), (25, False)])
+def test_both_ways_to_find_the_rows_before_a_run(make, monkeypatch, rows_per_task, quick):
+    taken = []
+    full = ordered._rows_before_runs
+
+    def watched(*args):
+        taken.append(True)
+        return full(*args)
+
+    monkeypatch.setattr(ordered, "_rows_before_runs", watched)
+    rows = [trade(i, i // 3, 1.0 + i % 7) for i in range(9000)]
+    df = make(rows).repartition(4)
+    whole = sorted(map(str, anomaly.price_zscore(df, 20, 1.5).collect()))
+    split = sorted(map(str, anomaly.price_zscore(df, 20, 1.5, rows_per_task).collect()))
+    assert split == whole and whole
+    assert bool(taken) is not quick
+
+
 def test_no_task_gets_much_more_than_its_share(make, spark):
     rows = make(_skewed(8000)).select("ticker", "event_time", "event_id", "price")
     sizes = {}

@@ -44,15 +44,17 @@ def over_preceding(
         return df.withColumns(added)
 
     run_rows = max(rows_per_task, math.ceil(size["total"] / MAX_RUNS))
-    splits = _split_points(df, counts, key, order, run_rows)
-    # At most one point per run of run_rows rows, so at most MAX_RUNS of them in all.
-    placed = df.join(F.broadcast(splits), key, "left").withColumn(
-        "_run", F.when(F.col("_splits").isNull(), 0).otherwise(_points_upto(order, MAX_RUNS))
-    )
-    split_rows = placed.where(F.col("_splits").isNotNull()).drop("_splits")
-    carried = _rows_before_runs(split_rows, key, order, reach)
+    cuts = _cuts(df, counts, key, order, reach, run_rows)
+    # About two points per run of run_rows rows, so about 2 * MAX_RUNS of them in all.
+    # Should a sample give more than expected, the last runs are only longer.
+    expected = 4 * math.ceil(size["total"] / run_rows) + 32
+    placed = _with_points_upto(df.join(F.broadcast(cuts), key, "left"), order, expected)
+    placed = placed.withColumn("_run", F.shiftright("_at", 1))
+    carried = _rows_before_cuts(placed, cuts, key, order, reach)
+    if carried is None:
+        carried = _rows_before_runs(placed, key, order, reach)
     everything = (
-        placed.drop("_splits")
+        placed.drop("_cuts", "_at")
         .withColumn("_carried", F.lit(False))
         .unionByName(carried.withColumn("_carried", F.lit(True)))
     )
@@ -60,50 +62,90 @@ def over_preceding(
     return everything.withColumns(added).where(~F.col("_carried")).drop("_carried", "_run")
 
 
-def _split_points(
-    df: DataFrame, counts: DataFrame, key: str, order: Sequence[str], run_rows: int
+def _cuts(
+    df: DataFrame, counts: DataFrame, key: str, order: Sequence[str], reach: int, run_rows: int
 ) -> DataFrame:
-    """Per huge key, a sorted array of row keys that cut it into runs.
+    """Per huge key, a sorted array of row keys: marker, cut, marker, cut, and so on.
 
-    A sample only decides where to cut, not what is computed. It is written down,
-    since every later job must cut at the same points.
+    A run ends at a cut; its marker is a little before, so that the last rows of
+    the run can be found between the two. A sample only decides where to cut,
+    not what is computed. It is written down, since every later job must cut at
+    the same points.
     """
     spark = df.sparkSession
     huge = counts.where(F.col("rows") > run_rows).select(key)
     share = min(1.0, _SAMPLES_PER_RUN / run_rows)
     sample = df.select(key, *order).sample(share, seed=11).join(F.broadcast(huge), key)
+    step = max(2, round(run_rows * share))
+    ahead = min(step - 1, math.ceil(4 * reach * share) + 2)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    step = max(1, round(run_rows * share))
+    sorted_points = F.array_sort(F.collect_list(F.struct(*order)))
     points = (
         sample.withColumn("_rank", rank)
-        .where(F.col("_rank") % step == 0)
+        .where((F.col("_rank") % step).isin(0, step - ahead))
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_splits"))
+        .agg(sorted_points.alias("_cuts"))
+        # A marker at the end has no cut.
+        .withColumn("_cuts", F.slice("_cuts", 1, F.size("_cuts") - F.size("_cuts") % 2))
     )
-    path = work_dir(spark, "splits")
+    path = work_dir(spark, "cuts")
     points.write.parquet(path)
     return spark.read.schema(points.schema).parquet(path)
 
 
-def _points_upto(order: Sequence[str], most: int) -> Column:
-    """How many split points are at or before the row, by binary search."""
-    row = F.struct(*order)
-    points = F.col("_splits")
-    steps = [1 << bit for bit in range(most.bit_length(), -1, -1)]
+def _with_points_upto(df: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """Add ``_at``, how many points are at or before the row; zero without points.
+
+    A binary search with one projection per step. They run in one compiled loop;
+    a fold over the array would be interpreted, at about twice the time. The
+    generator at the end keeps filters on ``_at`` above it: pushed down, they
+    would repeat the nested steps in every place.
+    """
+    df = df.withColumn("_row", F.struct(*order)).withColumn("_at", F.lit(0))
+    for bit in reversed(range(most.bit_length())):
+        step = 1 << bit
+        passed = F.get("_cuts", F.col("_at") + (step - 1)) <= F.col("_row")
+        df = df.withColumn("_at", F.col("_at") + F.when(passed, step).otherwise(0))
+    names = [name for name in df.columns if name not in ("_row", "_at")]
+    return df.select(*names, F.explode(F.array("_at")).alias("_at"))
+
+
+def _carry_columns(placed: DataFrame) -> list[str]:
+    return [name for name in placed.columns if name not in ("_cuts", "_at")]
 
-    def advance(found: Column, step: Column) -> Column:
-        probe = F.get(points, found + step - 1)
-        return F.when(probe <= row, found + step).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(step) for step in steps]), F.lit(0), advance)
+def _rows_before_cuts(
+    placed: DataFrame, cuts: DataFrame, key: str, order: Sequence[str], reach: int
+) -> DataFrame | None:
+    """For every run, copies of the ``reach`` rows before it, from behind the markers.
+
+    Only the few rows behind a marker are sorted. None if some marker turns out
+    to have fewer than ``reach`` rows behind it.
+    """
+    spark = placed.sparkSession
+    newest_first = Window.partitionBy(key, "_at").orderBy(*[F.desc(name) for name in order])
+    near = (
+        placed.where(F.col("_at") % 2 == 1)
+        .withColumn("_back", F.row_number().over(newest_first))
+        .where(F.col("_back") <= reach)
+        .withColumn("_run", F.col("_run") + 1)
+        .select(*_carry_columns(placed))
+    )
+    path = work_dir(spark, "carried")
+    near.write.parquet(path)
+    carried = spark.read.schema(near.schema).parquet(path)
+    wanted = cuts.agg(F.sum(F.size("_cuts")).alias("points")).first()["points"] or 0
+    return carried if carried.count() == wanted // 2 * reach else None
 
 
-def _rows_before_runs(split_rows: DataFrame, key: str, order: Sequence[str], reach: int):
-    """For every run, copies of the ``reach`` rows of the key that precede it."""
-    rest = [name for name in split_rows.columns if name not in (key, "_run", *order)]
+def _rows_before_runs(placed: DataFrame, key: str, order: Sequence[str], reach: int) -> DataFrame:
+    """The same from all rows of the split keys, however short their runs are."""
+    names = _carry_columns(placed)
+    rest = [name for name in names if name not in (key, "_run", *order)]
     newest_first = Window.partitionBy(key, "_run").orderBy(*[F.desc(name) for name in order])
     tails = (
-        split_rows.withColumn("_back", F.row_number().over(newest_first))
+        placed.where(F.col("_cuts").isNotNull())
+        .withColumn("_back", F.row_number().over(newest_first))
         .where(F.col("_back") <= reach)
         .groupBy(key, "_run")
         .agg(F.collect_list(F.struct(*order, *rest)).alias("_tail"))
@@ -114,4 +156,4 @@ def _rows_before_runs(split_rows: DataFrame, key: str, order: Sequence[str], rea
     near = F.flatten(F.collect_list("_tail").over(earlier))
     nearest = F.slice(F.sort_array(near, asc=False), 1, reach)
     before = tails.select(key, "_run", nearest.alias("_before"))
-    return before.selectExpr(key, "_run", "inline(_before)").select(*split_rows.columns)
+    return before.selectExpr(key, "_run", "inline(_before)").select(*names)
