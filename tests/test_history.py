@@ -101,6 +101,18 @@ def test_newest_is_the_same_with_any_number_of_lanes(make, lanes):
     assert [(r["event_time"], r["event_id"]) for r in found] == wanted
 
 
+@pytest.mark.parametrize("limit", [1, 3, 4, 7, 100])
+def test_newest_days_hold_the_newest_rows(spark, make, tmp_path, limit):
+    path = str(tmp_path / "trades")
+    rows = [trade(i, 86400 * (i % 4) + i, ticker="AB"[i % 3 == 0]) for i in range(12)]
+    append_trades(make(rows), path)
+    found = newest(matching(read_trades(spark, path), HistoryQuery(ticker="A")), limit, by_day=True)
+    wanted = sorted(((r[0], r[1]) for r in rows if r[2] == "A"), reverse=True)[:limit]
+    assert [(r["event_time"], r["event_id"]) for r in found.collect()] == wanted
+    if limit == 1:
+        assert "event_date#" in _plan(found).split("PartitionFilters", 1)[1].split("\n")[0]
+
+
 def test_summary_counts_page_and_match(make):
     row = summary(make(_random_trades(120)), HistoryQuery(trade_type="buy"), limit=50).first()
     assert (row["count"], row["total_count"]) == (50, 120)

@@ -134,14 +134,22 @@ def matching(
     return trades.where(functools.reduce(operator.and_, tests)) if tests else trades
 
 
-def newest(trades: DataFrame, limit: int, lanes: int | None = None) -> DataFrame:
+def newest(
+    trades: DataFrame, limit: int, lanes: int | None = None, by_day: bool | None = None
+) -> DataFrame:
     """The ``limit`` newest rows, ties by id.
 
     Each task keeps its own ``limit`` rows and one task merges them. With very
     many tasks that merge would itself be large, so it is then done in ``lanes``
-    parallel parts first.
+    parallel parts first. ``by_day`` first counts the rows of each day of the
+    stored table, so that only the newest days are read in full. Both are chosen
+    by the size of the scan if not given.
     """
     order = [F.desc("event_time"), F.desc("event_id")]
+    if by_day is None:
+        by_day = "event_date" in trades.columns and scan_tasks(trades) > MERGE_FAN_IN
+    if by_day:
+        trades = _newest_days(trades, limit)
     lanes = lanes or _lanes(trades)
     if lanes > 1:
         lane = Window.partitionBy("_lane").orderBy(*order)
@@ -154,6 +162,20 @@ def newest(trades: DataFrame, limit: int, lanes: int | None = None) -> DataFrame
     return trades.orderBy(*order).limit(limit)
 
 
+def _newest_days(trades: DataFrame, limit: int) -> DataFrame:
+    """Only the newest days that together hold ``limit`` rows.
+
+    Counting reads no more than the filter columns, and yields one row per day.
+    """
+    days = trades.groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"))
+    held = 0
+    for day in days.orderBy(F.desc("event_date")).collect():
+        held += day["rows"]
+        if held >= limit:
+            return trades.where(F.col("event_date") >= F.lit(day["event_date"]))
+    return trades
+
+
 def _lanes(df: DataFrame) -> int:
     """Enough lanes that no merge sees the results of too many tasks."""
     tasks = scan_tasks(df)

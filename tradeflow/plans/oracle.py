@@ -256,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
             " trade_type, trade_id, market_code, currency_code FROM trades"
             " WHERE event_time >= TIMESTAMP '2024-01-10 06:00:00'"
             " AND event_time < TIMESTAMP '2024-01-12 18:00:00' AND market_code = 'AMEX'"
-            " ORDER BY event_time DESC, trades.event_id DESC LIMIT 1000"
+            " ORDER BY event_time DESC, trades.event_id DESC LIMIT 150"
         ),
         "append_retry": _trades(
             " SELECT event_id % 2 AS batch_id, CAST(event_time AS DATE) AS event_date,"
@@ -309,6 +309,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "tick_candles_60s": _trades(_tick_candles(60)),
         "tick_candles_7s": _trades(_tick_candles(7)),
+        "tick_messages": _trades(
+            " SELECT bucket_start, 'candle_tick' AS type, ticker, high, low, 5 AS current_tick"
+            " FROM candles",
+            candles=_tick_candles(5),
+        ),
         "candles_minute": _candles("minute"),
         "candles_hour": _candles("hour"),
         "candles_day": _candles("day"),

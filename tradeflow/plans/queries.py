@@ -112,13 +112,13 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written by day, then read back through the day filter."""
+    """Written by day, then read back through the day filter, newest days only."""
     path = work_dir(spark, "trades")
     append_trades(event_trades(spark, sf_dir, zoned=True), path)
     span = TimeRange(datetime(2024, 1, 10, 6), datetime(2024, 1, 12, 18))
-    found = history.history(read_trades(spark, path), HistoryQuery(market_code="AMEX"), span=span)
-    shown = found.withColumns({"price": F.col("price").cast("double")}).drop("event_date")
-    return _unzoned(shown, "event_time")
+    found = history.matching(read_trades(spark, path), HistoryQuery(market_code="AMEX"), span=span)
+    newest = history.newest(found, 150, by_day=True).drop("event_date")
+    return _unzoned(newest.withColumn("price", F.col("price").cast("double")), "event_time")
 
 
 def append_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +199,13 @@ def _candle_query(width: str) -> Query:
     return run
 
 
+def tick_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-second candles in the form that is sent to a client."""
+    found = candles.tick_candles(event_trades(spark, sf_dir), "5 seconds")
+    sent = found.withColumn("tick", F.lit(5)).select("bucket_start", *candles.tick_message())
+    return sent.select("bucket_start", "type", "ticker", "data.high", "data.low", "current_tick")
+
+
 def candles_line_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candles.tick_candles(_line_trades(spark, sf_dir), "1 day")
 
@@ -452,6 +459,7 @@ def queries() -> dict[str, Query]:
         "latest_for_subscriptions": latest_for_subscriptions,
         "tick_candles_60s": _tick_query("60 seconds"),
         "tick_candles_7s": _tick_query("7 seconds"),
+        "tick_messages": tick_messages,
         "candles_minute": _candle_query("1 minute"),
         "candles_hour": _candle_query("1 hour"),
         "candles_day": _candle_query("1 day"),
