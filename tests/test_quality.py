@@ -95,3 +95,12 @@ def test_subscriptions(spark):
     found = check_subscriptions(spark.createDataFrame(rows, "sub_id string, ticker string, tick int"))
     bad = {r["sub_id"]: r["violations"] for r in found.collect() if r["violations"]}
     assert bad == {"a": ["tick"], "d": ["tick"], "e": ["ticker"], "f": ["ticker"]}
+
+
+def test_bounds_of_valid_trades_reach_the_scan(spark, make, tmp_path):
+    path = str(tmp_path / "raw")
+    make([trade(1, 0), trade(2, 0, price=0.0)]).write.parquet(path)
+    valid, rejected = validate_trades(spark.read.parquet(path))
+    plan = valid._jdf.queryExecution().executedPlan().toString()
+    assert "(price#" in plan.split("DataFilters", 1)[1]
+    assert (valid.count(), rejected.count()) == (1, 1)

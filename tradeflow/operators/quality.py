@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,23 +70,35 @@ def subscription_rules() -> dict[str, Column]:
     }
 
 
+def _all_hold(rules: dict[str, Column]) -> Column:
+    return functools.reduce(operator.and_, rules.values())
+
+
 def check(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Add ``violations``, the names of the rules that do not hold. Null breaks a rule."""
+    """Add ``violations``, the names of the rules that do not hold. Null breaks a rule.
+
+    Rows without any, as most should be, do not go through the list of names.
+    """
     broken = [
         F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()
     ]
-    return df.withColumn("violations", F.array_compact(F.array(*broken)))
+    none = F.array().cast("array<string>")
+    named = F.when(_all_hold(rules), none).otherwise(F.array_compact(F.array(*broken)))
+    return df.withColumn("violations", named)
 
 
-def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows without violations, and the others together with theirs."""
-    none = F.size("violations") == 0
-    return checked.where(none).drop("violations"), checked.where(~none)
+def split(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep all rules, and the others with their violations.
+
+    The first is a plain filter, whose bounds reach the scan.
+    """
+    kept = _all_hold(rules)
+    return df.where(kept), check(df.where(~F.coalesce(kept, F.lit(False))), rules)
 
 
 def validate_trades(raw: DataFrame, uuids: bool = True) -> tuple[DataFrame, DataFrame]:
     """Valid and rejected trades: one bad row does not fail its batch."""
-    return split(check(raw, trade_rules(uuids)))
+    return split(raw, trade_rules(uuids))
 
 
 def normalize_trades(trades: DataFrame) -> DataFrame:
@@ -115,3 +130,8 @@ def check_requests(requests: DataFrame, keep: tuple[str, ...] = ("request_id",))
 def check_subscriptions(subscriptions: DataFrame) -> DataFrame:
     """All tick requests, the first ones and the updates, with their violations."""
     return check(subscriptions, subscription_rules())
+
+
+def validate_subscriptions(subscriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid and rejected tick requests."""
+    return split(subscriptions, subscription_rules())

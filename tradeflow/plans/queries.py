@@ -180,7 +180,7 @@ def latest_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_for_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = quality.split(quality.check_subscriptions(_subscriptions(spark, sf_dir)))[0]
+    requests = quality.validate_subscriptions(_subscriptions(spark, sf_dir))[0]
     sent = latest.messages(requests, latest.latest(event_trades(spark, sf_dir)))
     return sent.select("sub_id", "type", "ticker", "data.high", "data.low", "current_tick")
 

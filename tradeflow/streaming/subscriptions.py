@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.candles import tick_message
 from ..operators.latest import latest, newest_requests
-from ..operators.quality import check_subscriptions, split
+from ..operators.quality import validate_subscriptions
 from . import state
 from .windows import candle_stream
 
@@ -52,7 +52,7 @@ Reader = Callable[[SparkSession], DataFrame]
 
 def valid_requests(subscriptions: DataFrame) -> DataFrame:
     """The newest request of each subscriber, after the invalid ones are dropped."""
-    return newest_requests(split(check_subscriptions(subscriptions))[0])
+    return newest_requests(validate_subscriptions(subscriptions)[0])
 
 
 def _merged() -> list[Column]:
