@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradeflow.session import work_dir
 
-from . import decontaminate, packing, secrets
+from . import decontaminate, html, packing, secrets, sharding, topk
 from .texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leak_report(leaks)
 
 
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, folder, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     capacity = packing.Capacity()
     pieces = packing.token_pieces(table(spark, folder, "documents"), capacity.tokens)
@@ -32,6 +36,14 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_report(found)
 
 
+def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.page_text(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
 def queries() -> dict[str, Query]:
     named = {
         name: made for name, made in globals().items() if name.startswith("op") and callable(made)
