@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradeflow.session import work_dir
 
-from . import decontaminate, html, packing, secrets, sharding, topk
+from . import decontaminate, html, packing, secrets, sharding, topk, toxicity
 from .texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.with_held_out(toxicity.score(docs, model, keep=["doc_id"]))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     leaks = decontaminate.find_leaks(docs, table(spark, folder, "benchmark"), keep=["doc_id"])
