@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradeflow.session import work_dir
 
-from . import decontaminate, html, packing, secrets, sharding, topk, toxicity
+from . import decontaminate, html, packing, secrets, sharding, substrings, topk, toxicity
 from .texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     capacity = packing.Capacity()
     pieces = packing.token_pieces(table(spark, folder, "documents"), capacity.tokens)
