@@ -26,9 +26,9 @@ _DOC = "struct<n_words:bigint,kept_sha256:string,packed:binary>"
 class Seeds:
     """One text: its anchors, the stretch of words that each is the anchor of, its windows.
 
-    An anchor is the run of ANCHOR_WORDS words of least hash in some window of `size`
-    words, so equal windows have equal anchors. Consecutive windows with one anchor
-    make a stretch.
+    An anchor is the hash of a run of ANCHOR_WORDS words that is the least in some window
+    of `size` words, so equal windows have equal anchors. Consecutive windows with one
+    anchor make a stretch.
     """
 
     words: list[bytes]
@@ -44,22 +44,24 @@ class Seeds:
         none = np.empty(0, np.int64)
         if len(words) < size:
             return cls(words, hashes, np.empty(0, np.uint64), none, none)
-        grams = window_hashes(hashes, ANCHOR_WORDS)
-        view = np.lib.stride_tricks.sliding_window_view(grams, size - ANCHOR_WORDS + 1)
-        chosen = view.argmin(1) + np.arange(len(view))
-        first = np.flatnonzero(np.diff(chosen, prepend=-1))
-        last = np.append(first[1:], len(chosen)) - 1
-        return cls(words, hashes, grams[chosen[first]], first, last)
-
-    def stretches(self, which: np.ndarray, size: int) -> np.ndarray:
-        """Hashes of all words that the windows of a stretch cover."""
+        least, reach = window_hashes(hashes, ANCHOR_WORDS), 1
+        span = size - ANCHOR_WORDS + 1
+        while reach < span:
+            step = min(reach, span - reach)
+            least = np.minimum(least[:-step], least[step:])
+            reach += step
+        first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+        last = np.append(first[1:], len(least)) - 1
+        return cls(words, hashes, least[first], first, last)
+
+    def stretches(self, size: int) -> np.ndarray:
+        """Hashes of all words that the windows of each stretch cover."""
+        raw = self.hashes.tobytes()
+        ends = (8 * (self.last + size)).tolist()
+        starts = (8 * self.first).tolist()
+        digest = xxhash.xxh3_64_intdigest
         return np.fromiter(
-            (
-                xxhash.xxh3_64_intdigest(self.hashes[self.first[k] : self.last[k] + size].tobytes())
-                for k in which
-            ),
-            np.uint64,
-            len(which),
+            (digest(raw[a:b]) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)
         )
 
 
@@ -67,7 +69,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def _rows(df: DataFrame, size: int, make, columns: list[str]) -> DataFrame:
+def _rows(df: DataFrame, make, size: int, columns: list[str]) -> DataFrame:
     """Rows of longs and the doc id that `make(seeds, listed)` yields for each packed text."""
     kind = df.schema["doc"].dataType.simpleString()
 
@@ -94,20 +96,29 @@ def _rows(df: DataFrame, size: int, make, columns: list[str]) -> DataFrame:
 
 
 def _anchor_rows(docs: DataFrame, size: int, with_doc: bool) -> DataFrame:
-    """Distinct anchors of each row, with its id if asked for."""
+    """Distinct anchors of each row; or distinct (anchor, stretch) pairs with the row's id."""
     kind = docs.schema["doc"].dataType.simpleString()
-    schema = f"a long, doc {kind}" if with_doc else "a long"
+    schema = f"a long, c long, doc {kind}" if with_doc else "a long"
+    empty = np.empty(0, np.uint64)
+
+    def pairs(found: Seeds) -> np.ndarray:
+        both = np.stack([found.anchors, found.stretches(size)])
+        return np.unique(both, axis=1) if len(np.unique(both[1])) < both.shape[1] else both
 
     def run(batches):
         for batch in batches:
-            found = [np.unique(Seeds.of(text, size).anchors) for text in binary(batch, "text")]
-            anchors = pa.array(_signed(np.concatenate([*found, np.empty(0, np.uint64)])))
+            seeds = (Seeds.of(text, size) for text in binary(batch, "text"))
             if not with_doc:
-                yield pa.RecordBatch.from_arrays([anchors], ["a"])
+                anchors = np.concatenate([*(np.unique(found.anchors) for found in seeds), empty])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(anchors))], ["a"])
                 continue
-            origin = np.repeat(np.arange(len(found)), [len(part) for part in found])
-            doc = batch.column("doc").take(pa.array(origin.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([anchors, doc], ["a", "doc"])
+            made = [pairs(found) for found in seeds]
+            columns = [np.concatenate([*(part[k] for part in made), empty]) for k in (0, 1)]
+            origin = np.repeat(np.arange(len(made)), [part.shape[1] for part in made]).astype(np.int64)
+            doc = batch.column("doc").take(pa.array(origin))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(_signed(column)) for column in columns), doc], ["a", "c", "doc"]
+            )
 
     return docs.mapInArrow(run, schema)
 
@@ -118,7 +129,7 @@ def _packed(docs: DataFrame, size: int) -> DataFrame:
     shape = pa.struct([("n_words", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary())])
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=6)
+        pack = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             rows = []
             for text in binary(batch, "text"):
@@ -168,19 +179,12 @@ def remove_repeats(
     named = rows.filter("doc is not null")
     counted = _anchor_rows(named, size, False).groupBy("a").agg(F.count("*").alias("n"))
     shared = staged(counted.filter("n > 1").select("a"), "anchors")
-    seeds = _listed(_anchor_rows(named, size, True).join(shared, "a"), F.col("a"), "listed")
-    texts = _packed(rows, size)
-
-    def stretches(found: Seeds, listed: np.ndarray):
-        which = np.flatnonzero(np.isin(found.anchors, listed))
-        pairs = np.stack([found.anchors[which], found.stretches(which, size)])
-        return np.unique(pairs, axis=1) if len(which) else pairs
-
-    held = _rows(texts.join(seeds, "doc"), size, stretches, ["a", "c"])
-    firsts = held.groupBy("a", "c").agg(F.min("doc").alias("first"))
+    held = staged(_anchor_rows(named, size, True).join(shared, "a"), "stretches")
+    firsts = staged(held.groupBy("a", "c").agg(F.min("doc").alias("first")), "firsts")
     whole = held.join(firsts, ["a", "c"]).filter("first < doc")
     several = firsts.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    open_ = firsts.join(several, "a").select(F.col("first").alias("doc"), "a")
+    open_ = _listed(firsts.join(several, "a").withColumn("doc", F.col("first")), F.col("a"), "listed")
+    texts = _packed(rows, size)
 
     def windows(found: Seeds, listed: np.ndarray):
         which = np.flatnonzero(np.isin(found.anchors, listed))
@@ -190,7 +194,7 @@ def remove_repeats(
         pairs = np.stack([np.repeat(found.anchors[which], lengths), hashes[starts.astype(np.int64)]])
         return np.unique(pairs, axis=1) if len(starts) else pairs
 
-    judged = _rows(texts.join(_listed(open_, F.col("a"), "listed"), "doc"), size, windows, ["a", "w"])
+    judged = _rows(texts.join(open_, "doc"), windows, size, ["a", "w"])
     earliest = judged.groupBy("a", "w").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     partly = judged.join(earliest.filter("first < last").drop("last"), ["a", "w"]).filter("first < doc")
     repeats = (
@@ -208,8 +212,7 @@ def _without_repeats(repeats: DataFrame, size: int, id_col: str, with_text: bool
     def covered(found: Seeds, stretches: list | None, windows: list | None) -> np.ndarray:
         starts = [np.empty(0, np.int64)]
         if stretches:
-            every = np.arange(len(found.anchors))
-            gone = np.isin(_signed(found.stretches(every, size)), stretches)
+            gone = np.isin(_signed(found.stretches(size)), stretches)
             starts += [np.arange(found.first[k], found.last[k] + 1) for k in np.flatnonzero(gone)]
         if windows:
             starts.append(np.flatnonzero(np.isin(_signed(window_hashes(found.hashes, size)), windows)))
