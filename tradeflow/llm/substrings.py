@@ -129,7 +129,7 @@ def _packed(docs: DataFrame, size: int) -> DataFrame:
     shape = pa.struct([("n_words", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary())])
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=9)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows = []
             for text in binary(batch, "text"):
