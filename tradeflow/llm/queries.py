@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradeflow.session import work_dir
 
-from . import decontaminate, html, packing, secrets, sharding, substrings, topk, toxicity
+from . import (
+    decontaminate,
+    jaccard,
+    packing,
+    page_text,
+    secret_scan,
+    sharding,
+    substrings,
+    topk,
+    toxicity,
+)
 from .texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,10 +50,14 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, capacity)
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked_components(table(spark, folder, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = secrets.scan_history(docs, work_dir(spark, "ledger"), path_col="doc_id")
-    return secrets.span_report(found)
+    found = secret_scan.scan_history(docs, work_dir(spark, "ledger"), path_col="doc_id")
+    return secret_scan.span_report(found)
 
 
 def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +65,7 @@ def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
-    return html.page_text(table(spark, folder, "pages"), keep=["page_id", "url"])
+    return page_text.page_text(table(spark, folder, "pages"), keep=["page_id", "url"])
 
 
 def queries() -> dict[str, Query]:
