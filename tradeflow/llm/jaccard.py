@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -213,26 +212,30 @@ def least_overlap_of_equal(size: int) -> int:
     return -(-LINK_PERCENT * size // 100)
 
 
-def _pairs(grouped: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs of sets with a common token that sizes and bits do not rule out: (bundle, f, probe, stored)."""
-    linked = grouped.join(bits, "f")
+def _pairs(few: DataFrame, bits: DataFrame) -> DataFrame:
+    """Bundles of a set and the partners that sizes and bits do not rule out: (bundle, f, probe, stored).
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "f"])
-        f, n, b = frame["f"].to_numpy(), frame["n"].to_numpy(), frame["bits"].to_list()
-        found = []
-        for k in range(len(f)):
-            for j in range(k - 1, -1, -1):
-                if 100 * n[j] < LINK_PERCENT * n[k]:
-                    break
-                if _differ(b[j], b[k]) <= n[j] + n[k] - 2 * least_overlap(n[j], n[k]):
-                    found.append((f[k], f[j]))
-        return pd.DataFrame(found, columns=["a", "b"])
+    A token has few sets here, so the join by token makes a bounded number of pairs for each row.
+    """
+    sized = few.join(bits.select("f", "n"), "f")
+    left, right = sized.toDF("a", "t", "na"), sized.toDF("b", "t", "nb")
+    fitting = F.expr(f"(nb < na or nb = na and b < a) and 100 * nb >= {LINK_PERCENT} * na")
+    pairs = left.join(right, "t").filter(fitting).select("a", "b").distinct()
+    held = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")]
+            near = [
+                _differ(xa, xb) <= na + nb - 2 * least_overlap(na, nb)
+                for na, nb, xa, xb in zip(*columns, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    pairs = linked.groupBy("t").applyInPandas(run, "a long, b long").distinct()
+    near = staged(held.mapInArrow(run, "a long, b long"), "pairs")
     named = F.col("a").cast("string").alias("bundle")
-    partner = pairs.select(named, F.col("b").alias("f"), F.lit(False).alias("probe"), F.lit(True).alias("stored"))
-    own = pairs.select(named, F.col("a").alias("f"), F.lit(True).alias("probe"), F.lit(False).alias("stored"))
+    partner = near.select(named, F.col("b").alias("f"), F.lit(False).alias("probe"), F.lit(True).alias("stored"))
+    own = near.select(named, F.col("a").alias("f"), F.lit(True).alias("probe"), F.lit(False).alias("stored"))
     return partner.union(own.distinct())
 
 
@@ -303,23 +306,42 @@ def linked_components(
     texts = rows.join(wanted.select("doc").distinct().hint("shuffle_hash"), "doc", "left_semi").select("text")
     sets = texts.mapInArrow(members, "f long, members array<long>")
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("f")
-        found: list[tuple[int, int]] = []
-        if len(frame) > 1:
-            listed = [np.asarray(x).view(np.uint64) for x in frame["members"]]
-            found = link_forest(
-                frame["f"].to_numpy(), listed, frame["probe"].to_numpy(), frame["stored"].to_numpy()
-            )
-        return pd.DataFrame(found, columns=["a", "b"])
-
     flagged = bundles.groupBy("bundle", "f").agg(F.max("probe").alias("probe"), F.max("stored").alias("stored"))
-    links = staged(
-        flagged.join(sets, "f").groupBy("bundle").applyInPandas(join, "a long, b long").distinct(), "links"
-    )
+    links = staged(_joined(flagged.join(sets.dropDuplicates(["f"]), "f")).distinct(), "links")
     return _labelled(every, nodes, links, id_col)
 
 
+def _joined(rows: DataFrame) -> DataFrame:
+    """Links (a, b) within each bundle, which a task reads one after the other."""
+
+    def links(bundle: list[tuple]) -> pa.RecordBatch:
+        found: list[tuple[int, int]] = []
+        if len(bundle) > 1:
+            f, probe, stored, members = zip(*bundle, strict=True)
+            found = link_forest(np.array(f), list(members), np.array(probe), np.array(stored))
+        columns = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    def run(batches):
+        name, bundle = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bundle", "f", "probe", "stored")]
+            listed = batch.column("members")
+            for k, row in enumerate(zip(*columns, strict=True)):
+                if row[0] != name:
+                    if bundle:
+                        yield links(bundle)
+                    name, bundle = row[0], []
+                members = listed[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                bundle.append((*row[1:], members.copy()))
+        if bundle:
+            yield links(bundle)
+
+    columns = rows.select("bundle", "f", "probe", "stored", "members")
+    dealt = columns.repartition("bundle").sortWithinPartitions("bundle", "f")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _labelled(every: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     """The smallest id of each node's component, given back to all rows of its set."""
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
