@@ -13,6 +13,7 @@ from . import (
     jaccard,
     packing,
     page_text,
+    quality,
     secret_scan,
     sharding,
     substrings,
@@ -50,6 +51,11 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, capacity)
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked_components(table(spark, folder, "documents"))
 
