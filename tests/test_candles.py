@@ -126,3 +126,10 @@ def test_health_tells_silence_from_delay_and_failure(make):
         (1, 0, "delayed"),
         (1, 0, "ok"),
     ]
+
+
+def test_roll_up_refuses_a_width_that_does_not_fit(make):
+    fine = candles(make([trade(0, 1)]), "1 minute")
+    with pytest.raises(ValueError):
+        roll_up(fine, "90 seconds", "1 minute")
+    assert roll_up(fine, "1 hour", "1 minute").count() == 1

@@ -97,3 +97,20 @@ def test_copies_collapse_before_the_shuffle(make):
     assert df.columns == TRADE_COLUMNS and df.count() == 2
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan
+
+
+def test_unreadable_values_are_rejected_by_name(spark):
+    damaged = [{"price": "AbC="}, {"volume": "x"}, {"event_time": "nonsense"}, {"price": None}]
+    messages = [_event("c", 1, None, {**_image(k), **change}) for k, change in enumerate(damaged)]
+    usable, rejected = split_changes(_parse(spark, messages))
+    found = sorted(r["problem"] for r in rejected.collect())
+    assert found == ["unreadable event_time", "unreadable price", "unreadable volume"]
+    assert [r["event_id"][:8] for r in usable.collect()] == ["00000003"]
+
+
+def test_changes_of_one_moment_have_one_outcome(spark):
+    ties = [_event("u", 7, None, _image(1, price)) for price in ("1.0", "2.0", "3.0")]
+    found = {str(_current(spark, random.Random(seed).sample(ties, 3))) for seed in range(6)}
+    assert len(found) == 1
+    placed = [json.loads(m) | {"source": {"lsn": at}} for m, at in zip(ties, (5, 9, 7))]
+    assert _current(spark, [json.dumps(m) for m in placed]) == {"00000001": 2.0}

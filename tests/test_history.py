@@ -148,3 +148,14 @@ def test_stored_table_reads_only_the_days_it_needs(spark, make, tmp_path):
     assert found.count() == 1
     span = TimeRange(START + timedelta(days=1), START + timedelta(days=3))
     assert matching(table, span=span).count() == 2
+
+
+@pytest.mark.parametrize("limit", [3, 6, 9, 20])
+def test_newest_days_lose_no_rows_without_time(spark, make, tmp_path, limit):
+    path = str(tmp_path / "trades")
+    rows = [trade(i, 86400 * i) for i in range(5)]
+    rows += [trade(i, 0, event_time=None) for i in range(5, 10)]
+    append_trades(make(rows), path)
+    stored = read_trades(spark, path)
+    by_day = newest(stored, limit, by_day=True).collect()
+    assert by_day == newest(stored, limit).collect() and len(by_day) == min(limit, 10)

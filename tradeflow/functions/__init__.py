@@ -8,7 +8,6 @@ from .scalar import (
     round_price,
     same_clock,
 )
-from .sizing import plan_bytes, scan_tasks
 
 __all__ = [
     "bucket_start",
@@ -16,9 +15,7 @@ __all__ = [
     "interval",
     "interval_seconds",
     "iso_text",
-    "plan_bytes",
     "price_cents",
     "round_price",
     "same_clock",
-    "scan_tasks",
 ]

@@ -62,11 +62,13 @@ def candles(trades: DataFrame, width: str) -> DataFrame:
     )
 
 
-def roll_up(fine: DataFrame, width: str) -> DataFrame:
+def roll_up(fine: DataFrame, width: str, fine_width: str | None = None) -> DataFrame:
     """Candles of a wider bucket from finer ones, without reading trades again.
 
-    ``width`` must be a multiple of the finer width.
+    ``width`` must be a multiple of the finer width; it is checked if that is given.
     """
+    if fine_width is not None and interval_seconds(width) % interval_seconds(fine_width):
+        raise ValueError(f"{width} is no multiple of {fine_width}")
     return (
         fine.withColumn("bucket_start", bucket_start("bucket_start", width))
         .groupBy("ticker", "bucket_start")

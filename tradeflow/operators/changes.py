@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import plan_bytes
 from ..schema import TRADE_COLUMNS
 
-# Ids of changes from files up to this size are broadcast; larger ones are joined
-# by a shuffle.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def _age() -> Column:
-    """Order of changes to one row: time, position in the feed, then c < u < d."""
+    """A total order of changes to one row: time, position in the feed, c < u < d, content."""
     rank = F.when(F.col("op") == "d", 2).when(F.col("op") == "u", 1).otherwise(0)
-    return F.struct("ts_ms", F.coalesce("position", F.lit(-1).cast("long")), rank)
+    return F.struct("ts_ms", F.coalesce("position", F.lit(-1).cast("long")), rank, F.xxhash64("after"))
 
 
 def newest_changes(changes: DataFrame) -> DataFrame:
@@ -46,19 +41,12 @@ def apply_changes(changes: DataFrame) -> DataFrame:
 def merge_changes(settled: DataFrame, fresh: DataFrame) -> DataFrame:
     """Newest change per row from a large settled state and some fresh changes.
 
-    ``settled`` has one change per row. Rows that no fresh change touches pass
-    through; only the others are grouped again. Where the fresh changes are
-    small enough to broadcast their ids, the settled state is not shuffled.
+    ``settled`` has one change per row. It is read once and grouped by id together
+    with the fresh changes; copies collapse before the shuffle.
     """
     columns = ["event_id", "position", "op", "ts_ms", "after"]
-    settled, newest = settled.select(*columns), newest_changes(fresh)
-    touched = newest.select("event_id")
-    if plan_bytes(fresh) <= BROADCAST_BYTES:
-        touched = F.broadcast(touched)
-    untouched = settled.join(touched, "event_id", "left_anti")
-    others = settled.join(touched, "event_id", "left_semi")
-    again = newest_changes(others.unionByName(newest.select(*columns)))
-    return untouched.unionByName(again.select(*columns))
+    both = settled.select(*columns).unionByName(fresh.select(*columns))
+    return newest_changes(both).select(*columns)
 
 
 def as_changes(trades: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bucket_start, interval
+from ..functions import bucket_start, interval, same_clock
 from .candles import calendar
 
 
@@ -29,22 +31,42 @@ def health(
     anomalies: DataFrame | None = None,
     rejected: DataFrame | None = None,
     slow: str = "1 minute",
+    start: datetime | None = None,
+    as_of: datetime | None = None,
 ) -> DataFrame:
     """One row for every interval, also the empty ones, with a status.
 
     ``lag_seconds`` is the silence at the end of the interval. "none" means no
     trade came, "failed" that only rejected ones came, and "delayed" that the
-    silence is longer than ``slow``. Counts that are not asked for are null.
+    silence is longer than ``slow``. Counts that are not asked for are null. The
+    intervals reach from the first to the last event of any kind, and to those of
+    ``start`` and ``as_of`` where given, so that silence up to now can be seen.
     """
     end = F.col("bucket_start") + interval(width)
-    span = arrived.agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last"))
+    counts = {
+        name: None if events is None else _per_bucket(events, width, name)
+        for name, events in (("anomalies", anomalies), ("rejected", rejected))
+    }
+    seen = arrived.select("bucket_start")
+    for found in counts.values():
+        if found is not None:
+            seen = seen.unionByName(found.select("bucket_start"))
+    span = seen.agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last"))
+    # One window expression per projection is all that Spark takes.
+    for name, moment, outer in (("first", start, F.least), ("last", as_of, F.greatest)):
+        if moment is not None:
+            given = bucket_start(same_clock(arrived, "bucket_start", moment), width)
+            span = span.withColumn("given", given).withColumn(name, outer(name, "given"))
+    span = span.select(
+        F.coalesce("first", "last").alias("first"), F.coalesce("last", "first").alias("last")
+    )
     rows = calendar(span, width).join(arrived, "bucket_start", "left")
     zero = F.lit(0).cast("long")
-    for name, events in (("anomalies", anomalies), ("rejected", rejected)):
-        if events is None:
+    for name, found in counts.items():
+        if found is None:
             rows = rows.withColumn(name, F.lit(None).cast("long"))
         else:
-            rows = rows.join(_per_bucket(events, width, name), "bucket_start", "left")
+            rows = rows.join(found, "bucket_start", "left")
             rows = rows.withColumn(name, F.coalesce(name, zero))
     newest = F.col("newest")
     status = (

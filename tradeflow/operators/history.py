@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 import operator
 import re
 from collections.abc import Mapping
@@ -14,13 +13,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import iso_text, same_clock, scan_tasks
+from ..functions import iso_text, same_clock
 from .quality import TRADE_TYPES
 
 # Fixed value: rows of one history answer.
 HISTORY_LIMIT = 1000
-# Above this many scan tasks the newest rows are merged in two levels.
-MERGE_FAN_IN = 2000
 
 
 @dataclass(frozen=True)
@@ -135,22 +132,19 @@ def matching(
 
 
 def newest(
-    trades: DataFrame, limit: int, lanes: int | None = None, by_day: bool | None = None
+    trades: DataFrame, limit: int, lanes: int | None = None, by_day: bool = False
 ) -> DataFrame:
-    """The ``limit`` newest rows, ties by id.
+    """The ``limit`` newest rows, ties by id; rows without a time come last.
 
-    Each task keeps its own ``limit`` rows and one task merges them. With very
-    many tasks that merge would itself be large, so it is then done in ``lanes``
-    parallel parts first. ``by_day`` first counts the rows of each day of the
-    stored table, so that only the newest days are read in full. Both are chosen
-    by the size of the scan if not given.
+    Each task keeps its own ``limit`` rows, ``lanes`` parallel parts merge them (as
+    many as there are shuffle partitions if not given), and one task merges those.
+    ``by_day`` first counts the rows of each day of the stored table, so that only
+    the newest days are read in full. The plan does not depend on the table's size.
     """
     order = [F.desc("event_time"), F.desc("event_id")]
-    if by_day is None:
-        by_day = "event_date" in trades.columns and scan_tasks(trades) > MERGE_FAN_IN
     if by_day:
         trades = _newest_days(trades, limit)
-    lanes = lanes or _lanes(trades)
+    lanes = lanes or int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if lanes > 1:
         lane = Window.partitionBy("_lane").orderBy(*order)
         trades = (
@@ -165,23 +159,18 @@ def newest(
 def _newest_days(trades: DataFrame, limit: int) -> DataFrame:
     """Only the newest days that together hold ``limit`` rows.
 
-    Counting reads no more than the filter columns, and yields one row per day.
+    Counting reads no more than the filter columns, and yields one row per day. Rows
+    without a day are the oldest, so where they are needed nothing is left out.
     """
     days = trades.groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"))
     held = 0
     for day in days.orderBy(F.desc("event_date")).collect():
         held += day["rows"]
-        if held >= limit:
+        if held >= limit and day["event_date"] is not None:
             return trades.where(F.col("event_date") >= F.lit(day["event_date"]))
     return trades
 
 
-def _lanes(df: DataFrame) -> int:
-    """Enough lanes that no merge sees the results of too many tasks."""
-    tasks = scan_tasks(df)
-    return math.isqrt(tasks) if tasks > MERGE_FAN_IN else 1
-
-
 def history(
     trades: DataFrame,
     query: HistoryQuery = HistoryQuery(),

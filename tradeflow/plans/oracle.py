@@ -182,6 +182,9 @@ def _arrivals(rule: str) -> str:
 
 
 def _health(counts: bool, arrived: str) -> str:
+    spanned = "SELECT bucket_start FROM arrived"
+    if counts:
+        spanned += " UNION ALL SELECT bucket_start FROM refusals"
     counted = """
         , (SELECT count(*) FROM hours WHERE trades > 5 AND hours.bucket_start = b.bucket_start)
             AS anomalies, coalesce(refused, 0) AS rejected
@@ -197,7 +200,7 @@ def _health(counts: bool, arrived: str) -> str:
                     ELSE 'ok' END AS status {counted if counts else ''}
         FROM (
             SELECT unnest(generate_series(min(bucket_start), max(bucket_start), INTERVAL 10 MINUTE))
-                AS bucket_start FROM arrived
+                AS bucket_start FROM ({spanned})
         ) AS b
         LEFT JOIN arrived ON arrived.bucket_start = b.bucket_start
         LEFT JOIN refusals ON refusals.bucket_start = b.bucket_start

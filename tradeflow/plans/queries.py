@@ -212,7 +212,7 @@ def candles_line_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candles_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = candles.candles(event_trades(spark, sf_dir), "1 minute")
-    return candles.candle_report(candles.roll_up(candles.roll_up(minutes, "1 hour"), "1 day"))
+    return candles.candle_report(candles.roll_up(candles.roll_up(minutes, "1 hour", "1 minute"), "1 day", "1 hour"))
 
 
 def candle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ ENVELOPE = T.StructType(
         T.StructField("before", CHANGE_ROW),
         T.StructField("after", CHANGE_ROW),
         T.StructField("ts_ms", T.LongType()),
+        # Where the producer's log has the change; it orders changes of one moment.
+        T.StructField("source", T.StructType([T.StructField("lsn", T.LongType())])),
     ]
 )
 

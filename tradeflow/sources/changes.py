@@ -18,7 +18,8 @@ def read_changes(
 ) -> DataFrame:
     """Stream of raw change events in ``value``, with ``position`` where known.
 
-    From Kafka, the offset orders the changes of one key; text files have none.
+    From Kafka, the offset orders the changes of one key; text files have none. A log
+    position in the message (``source.lsn``) takes its place.
     """
     if (path is None) == (topic is None):
         raise ValueError("give either a path of JSON lines or a Kafka topic")
@@ -37,6 +38,11 @@ def read_changes(
     )
 
 
+# Fields of a row image that are not text. A value that is there but cannot be read,
+# such as a decimal in binary form, must not become null and pass.
+TYPED = ("event_time", "price", "volume")
+
+
 def _moment(text: Column) -> Column:
     """ISO text, or microseconds since the epoch, as a timestamp."""
     micros = F.when(text.rlike(r"\A-?[0-9]+\z"), text.try_cast("long"))
@@ -69,7 +75,8 @@ def parse_changes(raw: DataFrame) -> DataFrame:
     opened = raw.select("value", "position", F.inline(F.array(F.from_json("value", ENVELOPE))))
     typed = opened.select(
         "value",
-        "position",
+        F.coalesce("source.lsn", "position").alias("position"),
+        F.struct(*[F.col(f"after.{name}").alias(name) for name in TYPED]).alias("sent"),
         "op",
         "ts_ms",
         _image("before").alias("before"),
@@ -84,7 +91,10 @@ def parse_changes(raw: DataFrame) -> DataFrame:
         .when(key.isNull(), "no event id")
         .when((op != "d") & F.col("after").isNull(), "no new row")
     )
-    return typed.select("*", key.alias("event_id"), problem.alias("problem"))
+    for name in TYPED:
+        lost = F.col(f"sent.{name}").isNotNull() & F.col(f"after.{name}").isNull()
+        problem = problem.when((op != "d") & lost, f"unreadable {name}")
+    return typed.select("*", key.alias("event_id"), problem.alias("problem")).drop("sent")
 
 
 def split_changes(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
