@@ -6,7 +6,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import LONG, MESSY
+from messy_rows import LONG, MESSY
 from pyspark.sql import functions as F
 
 from tradeflow.llm import (
@@ -23,6 +23,28 @@ from tradeflow.llm import (
 )
 from tradeflow.llm.components import components
 
+COLUMNS = (
+    "doc_id long, text string, lang string, source string, n_chars long, score double, "
+    "n_words string, spans string, component_id string, blob string"
+)
+
+
+@pytest.fixture
+def docs(spark):
+    """Documents from (id, text); the other columns clash with results and hold nulls."""
+
+    def build(rows):
+        full = [(i, t, None, "s", None if t is None else len(t), None, "x", None, "y", "z") for i, t in rows]
+        return spark.createDataFrame(full, COLUMNS)
+
+    return build
+
+
+@pytest.fixture
+def messy(docs):
+    return docs(MESSY)
+
+
 NAMED = [(i, t) for i, t in MESSY if i is not None]
 
 
