@@ -23,9 +23,10 @@ from tradeflow import plans  # noqa: E402
 from tradeflow.operators.candles import candle_report, candles  # noqa: E402
 from tradeflow.operators.history import HistoryQuery, TimeRange, history  # noqa: E402
 from tradeflow.operators.quality import normalize_trades  # noqa: E402
-from tradeflow.plans.queries import event_trades  # noqa: E402
+from tradeflow.plans.queries import event_trades, trade_stream  # noqa: E402
 from tradeflow.session import local_session, work_dir  # noqa: E402
 from tradeflow.sources import append_trades, read_trades  # noqa: E402
+from tradeflow.streaming import state, windows  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -90,6 +91,16 @@ def month_of_trades(spark, rows: int):
     )
 
 
+def candle_stream_run(spark) -> tuple[float, list[int]]:
+    """Seconds of a candle stream over trades in several deliveries, and milliseconds of each batch."""
+    place = work_dir(spark, "stream")
+    stream = windows.candle_stream(trade_stream(spark, SF_DIR), "60 seconds", "10 minutes")
+    began = time.perf_counter()
+    query = state.finish(state.start(stream, f"{place}/out", f"{place}/checkpoint"))
+    took = time.perf_counter() - began
+    return took, sorted(p["durationMs"]["triggerExecution"] for p in query.recentProgress)
+
+
 def main() -> None:
     spark = local_session(CPUS, "12g")
     found = plans.queries()
@@ -119,6 +130,7 @@ def main() -> None:
         lambda: drain(candle_report(candles(table, "1 minute")))
     )
     events = event_trades(spark, SF_DIR).count()
+    streamed, batches = candle_stream_run(spark)
     print(
         json.dumps(
             {
@@ -126,7 +138,12 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": {name: round(value, 3) for name, value in seconds.items()},
-                "stream_rows_per_sec": round(events / seconds["stream_candles"]),
+                "stream_rows_per_sec": round(events / streamed),
+                "micro_batch_ms": {
+                    "batches": len(batches),
+                    "p50": batches[len(batches) // 2],
+                    "p95": batches[len(batches) * 95 // 100],
+                },
                 "sf": Path(SF_DIR).name.removeprefix("sf"),
                 "cpus": int(CPUS),
             }

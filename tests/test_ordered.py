@@ -91,6 +91,22 @@ def test_no_task_gets_much_more_than_its_share(make, spark):
     assert sum(sizes) == 8000 and max(sizes) < 800
 
 
+def test_rows_without_a_key_are_split_too(make):
+    rows = make(_skewed(6000)).select("ticker", "event_time", "event_id", "price")
+    rows = rows.withColumn("ticker", F.expr("nullif(ticker, 'H')"))
+
+    def columns(window):
+        return {"run": F.col("_run"), "n": F.count(F.lit(1)).over(window.rowsBetween(-3, -1))}
+
+    order = ("event_time", "event_id")
+    whole = over_preceding(rows, "ticker", order, 3, lambda w: {"n": columns(w)["n"]}).collect()
+    split = over_preceding(rows, "ticker", order, 3, columns, 200)
+    kept = split.select("ticker", *order, "price", "n").collect()
+    assert sorted(map(str, kept)) == sorted(map(str, whole))
+    sizes = [r["count"] for r in split.groupBy("ticker", "run").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 800
+
+
 def test_jump_and_spike_are_the_same_when_split(make):
     df = make(_skewed(3000)).repartition(5).cache()
     for rule in (anomaly.price_jump, anomaly.volume_spike):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import iso_text, same_clock
-from .quality import TRADE_TYPES
+from .quality import LONGEST_RANGE, TRADE_TYPES
 
 # Fixed value: rows of one history answer.
 HISTORY_LIMIT = 1000
@@ -73,7 +73,7 @@ class TimeRange:
 
     start: datetime
     end: datetime
-    longest: timedelta = timedelta(days=30)
+    longest: timedelta = LONGEST_RANGE
 
     def __post_init__(self) -> None:
         if self.end <= self.start:

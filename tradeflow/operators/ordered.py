@@ -48,7 +48,7 @@ def over_preceding(
     # About two points per run of run_rows rows, so about 2 * MAX_RUNS of them in all.
     # Should a sample give more than expected, the last runs are only longer.
     expected = 4 * math.ceil(size["total"] / run_rows) + 32
-    placed = _with_points_upto(df.join(F.broadcast(cuts), key, "left"), order, expected)
+    placed = _with_points_upto(_beside(df, cuts, key, "left"), order, expected)
     placed = placed.withColumn("_run", F.shiftright("_at", 1))
     carried = _rows_before_cuts(placed, cuts, key, order, reach)
     if carried is None:
@@ -62,6 +62,12 @@ def over_preceding(
     return everything.withColumns(added).where(~F.col("_carried")).drop("_carried", "_run")
 
 
+def _beside(df: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """Join with the few rows of huge keys; null is a key like any other."""
+    known = F.broadcast(few.withColumnRenamed(key, "_key"))
+    return df.join(known, F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
+
+
 def _cuts(
     df: DataFrame, counts: DataFrame, key: str, order: Sequence[str], reach: int, run_rows: int
 ) -> DataFrame:
@@ -75,7 +81,7 @@ def _cuts(
     spark = df.sparkSession
     huge = counts.where(F.col("rows") > run_rows).select(key)
     share = min(1.0, _SAMPLES_PER_RUN / run_rows)
-    sample = df.select(key, *order).sample(share, seed=11).join(F.broadcast(huge), key)
+    sample = _beside(df.select(key, *order).sample(share, seed=11), huge, key, "inner")
     step = max(2, round(run_rows * share))
     ahead = min(step - 1, math.ceil(4 * reach * share) + 2)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ MAX_MARKET_CODE = 20
 CURRENCY_LENGTH = 3
 MAX_TICK_SECONDS = 60
 TRADE_TYPES = ("BUY", "SELL")
+LONGEST_RANGE = timedelta(days=30)
 
 _UUID = r"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 _CAPITALS = r"\A[A-Z]+\z"
@@ -70,6 +72,15 @@ def subscription_rules() -> dict[str, Column]:
     }
 
 
+def range_rules(longest: timedelta = LONGEST_RANGE) -> dict[str, Column]:
+    """Rules of a half-open span of time, as for ``history.TimeRange``."""
+    start, end = F.unix_micros("start"), F.unix_micros("end")
+    return {
+        "end": end > start,
+        "length": end - start <= longest // timedelta(microseconds=1),
+    }
+
+
 def _all_hold(rules: dict[str, Column]) -> Column:
     return functools.reduce(operator.and_, rules.values())
 
@@ -132,6 +143,11 @@ def check_subscriptions(subscriptions: DataFrame) -> DataFrame:
     return check(subscriptions, subscription_rules())
 
 
+def check_ranges(ranges: DataFrame, longest: timedelta = LONGEST_RANGE) -> DataFrame:
+    """A table of spans from ``start`` to ``end``, timestamps, with their violations."""
+    return check(ranges, range_rules(longest))
+
+
 def validate_subscriptions(subscriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid and rejected tick requests."""
     return split(subscriptions, subscription_rules())

@@ -81,7 +81,12 @@ def _candles(unit: str) -> str:
     )
 
 
-def _zscore(closed: str = "") -> str:
+# A tenth of the trades comes last; what the earlier ones had closed by then is late.
+_MARK = "SELECT max(event_time) - INTERVAL 12 HOUR FROM trades"
+_LATE = f"event_id % 10 = 0 AND event_time < ({_MARK} WHERE event_id % 10 <> 0)"
+
+
+def _zscore(closed: str = "", source: str = "trades") -> str:
     frame = "(PARTITION BY ticker ORDER BY event_time, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
     return _trades(
         f"""
@@ -91,7 +96,7 @@ def _zscore(closed: str = "") -> str:
         FROM (
             SELECT *, count(*) OVER {frame} AS n, avg(price) OVER {frame} AS mean,
                    stddev_samp(price) OVER {frame} AS deviation
-            FROM trades
+            FROM {source}
         )
         WHERE n = 20 AND deviation > 0 AND abs((price - mean) / deviation) >= 3 {closed}
         """
@@ -282,6 +287,32 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CASE WHEN price > 10000 THEN 'price' ELSE '' END AS violations,"
             " count(*) AS trades FROM trades GROUP BY 1"
         ),
+        "quality_gate_all": _trades(
+            """
+            SELECT event_id AS number, concat_ws(',',
+                CASE WHEN k = 0 THEN 'event_time' END, CASE WHEN k = 1 THEN 'event_id' END,
+                CASE WHEN k IN (2, 10) THEN 'ticker' END,
+                CASE WHEN k IN (3, 4) OR price <= 0 OR price > 10000 THEN 'price' END,
+                CASE WHEN k IN (5, 6) OR volume NOT BETWEEN 1 AND 1000000 THEN 'volume' END,
+                CASE WHEN k = 7 THEN 'trade_type' END, CASE WHEN k = 8 THEN 'trade_id' END,
+                CASE WHEN k = 9 THEN 'market_code' END, CASE WHEN k = 10 THEN 'currency_code' END
+            ) AS violations
+            FROM (SELECT *, event_id % 12 AS k FROM trades)
+            """
+        ),
+        "normalize_rounding": _trades(
+            """
+            SELECT trade_id, round_even(floor(price) + CASE WHEN k % 2 = 0 THEN k / 16.0::DOUBLE
+                                        ELSE k / 500.0::DOUBLE END, 2) AS price
+            FROM (SELECT *, event_id % 16 AS k FROM trades)
+            """
+        ),
+        "check_ranges": """
+            SELECT l_orderkey, l_linenumber, concat_ws(',',
+                CASE WHEN l_orderkey % 60 <= 15 THEN 'end' END,
+                CASE WHEN l_orderkey % 60 > 45 THEN 'length' END) AS violations
+            FROM lineitem
+        """,
         "quality_valid": _lines("SELECT * FROM trades WHERE price <= 10000"),
         "normalize": _trades(f" SELECT {everything} FROM trades"),
         "check_requests": """
@@ -339,6 +370,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "anomaly_zscore": _zscore(),
         "anomaly_zscore_split": _zscore(),
+        "anomaly_null_ticker": _zscore(
+            source="(SELECT * REPLACE (nullif(ticker, 'CLICK') AS ticker) FROM trades)"
+        ),
         "anomaly_jump": _jump(),
         "anomaly_jump_split": _jump(),
         "anomaly_volume": _spike(),
@@ -409,6 +443,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_changes_current": _ORDERS_LEFT,
         "stream_zscore": _zscore("AND event_time < (SELECT max(event_time) - INTERVAL 12 HOUR FROM trades)"),
+        "stream_late": _zscore(f"AND event_time < ({_MARK})", f"(SELECT * FROM trades WHERE NOT ({_LATE}))"),
+        "stream_late_rows": _trades(
+            f"SELECT ticker, count(*) AS late FROM trades WHERE {_LATE} GROUP BY ticker"
+        ),
         "stream_jump": _jump("AND event_time < (SELECT max(event_time) - INTERVAL 12 HOUR FROM trades)"),
         "stream_volume": _spike(_HOUR_CLOSED),
         "stream_burst": _burst(_HOUR_CLOSED),

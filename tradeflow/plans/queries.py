@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, candles, changes, health, history, latest, quality
@@ -34,6 +34,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = datetime(2024, 1, 31)
 DELAY = "10 minutes"
+# Parts in which a stream arrives, and how far trades come out of order, below DELAY.
+DELIVERIES = 6
+MIXED_SECONDS = 540
 # Far below the default, so that even small tables take the path for huge keys.
 FEW_ROWS = 100
 
@@ -54,11 +57,30 @@ def _subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers_as_subscriptions(_table(spark, sf_dir, "customer"))
 
 
-def _trade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = _table(spark, sf_dir, "events").schema
-    # A file source wants a folder or a pattern; this one fits a file and a folder.
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return events_as_trades(files, zoned=True)
+def trade_stream(spark: SparkSession, sf_dir: str, kind: str = "mixed") -> DataFrame:
+    """Trades that arrive in several deliveries, one for each micro-batch.
+
+    Each brings the trades of a span of time, mixed at its ends with those of its
+    neighbours by less than DELAY. Of the kind "twice", each trade comes again in the
+    next one; of the kind "late", every tenth comes in one more at the end.
+    """
+    trades = event_trades(spark, sf_dir, zoned=True)
+    second = F.unix_seconds("event_time")
+    span = trades.agg(F.min(second).alias("first"), F.max(second).alias("last")).first()
+    first, length = span["first"] or 0, (span["last"] or 0) - (span["first"] or 0) + MIXED_SECONDS + 1
+    shift = F.pmod(F.xxhash64("event_id"), F.lit(MIXED_SECONDS))
+    number = F.floor((second - first + shift) * DELIVERIES / length)
+    numbers = {
+        "mixed": F.array(number),
+        "twice": F.array(number, number + 1),
+        "late": F.array(F.when(F.col("event_id").cast("long") % 10 == 0, DELIVERIES).otherwise(number)),
+    }
+    sent = trades.withColumn("delivery", F.explode(numbers[kind]))
+    place, parts = work_dir(spark, "feed"), spark.sparkContext.defaultParallelism
+    for k in range(DELIVERIES + (kind != "mixed")):  # files are read in the order of their times
+        one = sent.where(F.col("delivery") == k).drop("delivery")
+        one.repartition(parts).write.mode("append").parquet(place)
+    return spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", parts).parquet(place)
 
 
 def _unzoned(df: DataFrame, *columns: str) -> DataFrame:
@@ -149,6 +171,37 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of which most break a rule, by their number; every rule is broken by some."""
+    number = F.col("event_id").cast("long")
+    kind = F.col("number") % 12
+
+    def damaged(name: str, **values: Column) -> Column:
+        value = F.col(name)
+        for key, bad in values.items():
+            value = F.when(kind == int(key[1:]), bad).otherwise(value)
+        return value
+
+    identity = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(number.cast("string"), 12, "0"))
+    whole = event_trades(spark, sf_dir).withColumns(
+        {"number": number, "event_id": identity, "trade_id": identity}
+    )
+    raw = whole.select(
+        "number",
+        damaged("event_time", k0=F.lit(None)).alias("event_time"),
+        damaged("event_id", k1=F.lit("x")).alias("event_id"),
+        damaged("ticker", k2=F.lit("ELEVENCHARS"), k10=F.lit("")).alias("ticker"),
+        damaged("price", k3=F.lit(0.0), k4=F.lit(10000.01)).alias("price"),
+        damaged("volume", k5=F.lit(0), k6=F.lit(1000001)).alias("volume"),
+        damaged("trade_type", k7=F.lit("HOLD")).alias("trade_type"),
+        damaged("trade_id", k8=F.replace("trade_id", F.lit("-"), F.lit(""))).alias("trade_id"),
+        damaged("market_code", k9=F.lit("A MARKET CODE TOO LONG")).alias("market_code"),
+        damaged("currency_code", k10=F.lit("US")).alias("currency_code"),
+    )
+    checked = quality.check(raw, quality.trade_rules())
+    return checked.select("number", F.concat_ws(",", "violations").alias("violations"))
+
+
 def quality_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid, _ = quality.validate_trades(_line_trades(spark, sf_dir), uuids=False)
     return valid.drop("event_id")
@@ -161,6 +214,27 @@ def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.normalize_trades(raw).withColumn("price", F.col("price").cast("double"))
 
 
+def normalize_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices between two cents, every other one just half-way."""
+    number = F.col("event_id").cast("long") % 16
+    between = F.when(number % 2 == 0, number / 16).otherwise(number / 500)
+    raw = event_trades(spark, sf_dir).withColumn("price", F.floor("price") + between)
+    rounded = quality.normalize_trades(raw).withColumn("price", F.col("price").cast("double"))
+    return rounded.select("trade_id", "price")
+
+
+def check_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans from every shipment on, some backwards, empty or too long."""
+    ranges = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_shipdate").cast("timestamp").alias("start"),
+        F.expr("timestampadd(DAY, l_orderkey % 60 - 15, cast(l_shipdate AS timestamp))").alias("end"),
+    )
+    checked = quality.check_ranges(ranges)
+    return checked.select("l_orderkey", "l_linenumber", F.concat_ws(",", "violations").alias("violations"))
+
+
 def check_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = quality.check_requests(orders_as_requests(_table(spark, sf_dir, "orders")))
     return checked.withColumn("violations", F.concat_ws(",", "violations"))
@@ -245,6 +319,12 @@ def anomaly_zscore_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(found, "price", "mean", "deviation")
 
 
+def anomaly_null_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the trades of one ticker without it, which make a series of their own."""
+    trades = event_trades(spark, sf_dir).withColumn("ticker", F.nullif("ticker", F.lit("CLICK")))
+    return _flat(anomaly.price_zscore(trades, rows_per_task=FEW_ROWS), "price", "mean", "deviation")
+
+
 def anomaly_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(anomaly.price_jump(event_trades(spark, sf_dir), 5.0), "price", "previous")
 
@@ -340,7 +420,7 @@ def copies_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_dir(spark, "candles")
-    stream = windows.candle_stream(_trade_stream(spark, sf_dir), "60 seconds", DELAY)
+    stream = windows.candle_stream(trade_stream(spark, sf_dir), "60 seconds", DELAY)
     state.finish(state.start(stream, f"{place}/out", f"{place}/checkpoint"))
     closed = spark.read.schema(stream.schema).parquet(f"{place}/out")
     return _unzoned(closed, "bucket_start")
@@ -348,7 +428,7 @@ def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_dir(spark, "dedup")
-    trades = _trade_stream(spark, sf_dir)
+    trades = trade_stream(spark, sf_dir, "twice")
     twice = trades.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     stream = windows.distinct_trades(twice, "1 day", salted=True)
     state.finish(state.start(stream, f"{place}/out", f"{place}/checkpoint"))
@@ -358,7 +438,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_dir(spark, "ticks")
     query = subscriptions.start_ticks(
-        _trade_stream(spark, sf_dir),
+        trade_stream(spark, sf_dir),
         lambda session: _subscriptions(session, sf_dir),
         f"{place}/out",
         f"{place}/checkpoint",
@@ -371,7 +451,7 @@ def stream_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_dir(spark, "prices")
     query = subscriptions.start_prices(
-        _trade_stream(spark, sf_dir), f"{place}/out", f"{place}/checkpoint"
+        trade_stream(spark, sf_dir), f"{place}/out", f"{place}/checkpoint"
     )
     state.finish(query)
     return _unzoned(subscriptions.read_prices(spark, f"{place}/out"), "event_time")
@@ -399,7 +479,7 @@ def _rule_stream(name: str, rule: stream_rules.OrderedRules, *evidence: str) ->
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = work_dir(spark, name)
         query = stream_rules.start_rules(
-            _trade_stream(spark, sf_dir), rule, f"{place}/out", f"{place}/checkpoint", "12 hours"
+            trade_stream(spark, sf_dir), rule, f"{place}/out", f"{place}/checkpoint", "12 hours"
         )
         state.finish(query)
         found = stream_rules.read_anomalies(spark, f"{place}/out")
@@ -408,9 +488,28 @@ def _rule_stream(name: str, rule: stream_rules.OrderedRules, *evidence: str) ->
     return run
 
 
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The z-score of a stream whose late trades no rule sees."""
+    found = stream_rules.read_anomalies(spark, _with_late_trades(spark, sf_dir))
+    return _unzoned(_flat(found, "price", "mean", "deviation"), "event_time")
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late trades of the same stream, which are kept apart, by ticker."""
+    late = spark.read.parquet(f"{_with_late_trades(spark, sf_dir)}/late")
+    return late.groupBy("ticker").agg(F.count(F.lit(1)).alias("late"))
+
+
+def _with_late_trades(spark: SparkSession, sf_dir: str) -> str:
+    place = work_dir(spark, "late")
+    trades, rule = trade_stream(spark, sf_dir, "late"), stream_rules.price_rules(jump=None)
+    state.finish(stream_rules.start_rules(trades, rule, f"{place}/out", f"{place}/checkpoint", "12 hours"))
+    return f"{place}/out"
+
+
 def stream_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_dir(spark, "volume")
-    stream = windows.volume_stream(_trade_stream(spark, sf_dir), "1 hour", DELAY)
+    stream = windows.volume_stream(trade_stream(spark, sf_dir), "1 hour", DELAY)
     rule = stream_rules.volume_rules()
     query = stream_rules.start_rules(stream, rule, f"{place}/out", f"{place}/checkpoint", None)
     state.finish(query)
@@ -421,7 +520,7 @@ def stream_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _window_rule(name: str, build, *evidence: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = work_dir(spark, name)
-        stream = build(_trade_stream(spark, sf_dir))
+        stream = build(trade_stream(spark, sf_dir))
         state.finish(state.start(stream, f"{place}/out", f"{place}/checkpoint"))
         found = spark.read.schema(stream.schema).parquet(f"{place}/out")
         return _unzoned(_flat(found, *evidence), "event_time")
@@ -432,7 +531,7 @@ def _window_rule(name: str, build, *evidence: str) -> Query:
 def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health of a stream, from the closed intervals it has written."""
     place = work_dir(spark, "arrivals")
-    stream = windows.arrival_stream(_trade_stream(spark, sf_dir), "10 minutes", DELAY)
+    stream = windows.arrival_stream(trade_stream(spark, sf_dir), "10 minutes", DELAY)
     state.finish(state.start(stream, f"{place}/out", f"{place}/checkpoint"))
     arrived = spark.read.schema(stream.schema).parquet(f"{place}/out")
     rows = health.health(arrived, "10 minutes", slow="5 minutes").drop("anomalies", "rejected")
@@ -451,8 +550,11 @@ def queries() -> dict[str, Query]:
         "append_retry": append_retry,
         "export_json": export,
         "quality_gate": quality_gate,
+        "quality_gate_all": quality_gate_all,
         "quality_valid": quality_valid,
         "normalize": normalize,
+        "normalize_rounding": normalize_rounding,
+        "check_ranges": check_ranges,
         "check_requests": check_requests,
         "check_subscriptions": check_subscriptions,
         "latest_price": latest_price,
@@ -468,6 +570,7 @@ def queries() -> dict[str, Query]:
         "candle_gaps": candle_gaps,
         "anomaly_zscore": anomaly_zscore,
         "anomaly_zscore_split": anomaly_zscore_split,
+        "anomaly_null_ticker": anomaly_null_ticker,
         "anomaly_jump": anomaly_jump,
         "anomaly_jump_split": anomaly_jump_split,
         "anomaly_volume": anomaly_volume,
@@ -490,6 +593,8 @@ def queries() -> dict[str, Query]:
             "zscore", stream_rules.price_rules(jump=None), "price", "mean", "deviation"
         ),
         "stream_jump": _rule_stream("jump", stream_rules.price_rules(zscore=None, jump=5.0), "price", "previous"),
+        "stream_late": stream_late,
+        "stream_late_rows": stream_late_rows,
         "stream_volume": stream_volume,
         "stream_burst": _window_rule(
             "burst", lambda trades: windows.bucket_rule_stream(trades, "1 hour", DELAY, burst=5), "trades", "limit"
