@@ -13,6 +13,9 @@ from tradeflow.session import work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near copies: shingles of so many words, and the share of them in percent that two documents have in common.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from labelled ones that are not held out."""
@@ -27,7 +30,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Documents without words are in no group and stay. Rows that repeat a kept id stay
     with it.
     """
-    found = jaccard.linked_components(docs)
+    found = jaccard.linked_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 

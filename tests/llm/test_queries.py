@@ -53,6 +53,22 @@ def test_stages_by_brute_force(spark):
         assert clean[i] == text if not brute.base_spans(text) else not brute.base_spans(clean[i])
 
 
+def test_near_copies_are_of_five_words_and_four_fifths(spark):
+    """Documents that 3 words at 90 % leave apart: the stage has values of its own, op7 keeps its."""
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50], "x", *words[51:]])), (3, " ".join(words[:40]))]
+    rows += [(4, " ".join([*words[:30], "y", *words[31:60], "z", *words[61:]]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SMALL, "documents").schema)
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, SMALL)
+    want = {i for i, (_, c) in brute.linked(rows, 5, (80, 100)).items() if i == c}
+    assert want != {i for i, (_, c) in brute.linked(rows).items() if i == c}
+    assert {r["doc_id"] for r in kept.collect()} == want
+    real = table(spark, SMALL, "documents")
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, real, SMALL)
+    pairs = [(r["doc_id"], r["text"]) for r in real.collect()]
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in brute.linked(pairs, 5, (80, 100)).items() if i == c}
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0 and out.columns[-2:] == ["sequence_id", "offset"]

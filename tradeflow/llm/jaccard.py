@@ -14,7 +14,7 @@ from .components import components
 from .texts import binary, lower_words, staged, window_hashes, word_hashes
 
 SHINGLE_WORDS = 3
-#: Two sets link when 100 * intersection >= LINK_PERCENT * union.
+#: Two sets link when 100 * intersection >= percent * union; what callers get who name no percentage.
 LINK_PERCENT = 90
 #: Shingle counts are kept by this many hash values; they order shingles, rarest first.
 ORDER_BUCKETS = 1 << 17
@@ -32,9 +32,9 @@ def shingle_set(text: bytes | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(window_hashes(hashes, min(n, len(hashes))))
 
 
-def least_overlap(a, b):
+def least_overlap(a, b, percent: int = LINK_PERCENT):
     """The smallest intersection with which sets of a and b members link."""
-    return -(-LINK_PERCENT * (a + b) // (100 + LINK_PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
 def _parity(members: np.ndarray) -> bytes:
@@ -69,7 +69,8 @@ class Branch:
 class PrefixTree:
     """Sets in one global order as paths; sets that begin alike share branches."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int = LINK_PERCENT):
+        self.percent = percent
         self.root = Branch(np.empty(0, np.int64), 0, 0, 0)
         order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
         path = [self.root]
@@ -122,15 +123,17 @@ class PrefixTree:
                 overlap += int(np.count_nonzero(held[branch.members]))
                 left = size - int(np.searchsorted(members, branch.members[-1], "right"))
             best = min(max(branch.depth + left, branch.shortest), branch.longest)
-            if overlap + min(best - branch.depth, left) < least_overlap(size, best):
+            if overlap + min(best - branch.depth, left) < least_overlap(size, best, self.percent):
                 continue
-            if branch.sets and overlap >= least_overlap(size, branch.depth):
+            if branch.sets and overlap >= least_overlap(size, branch.depth, self.percent):
                 found += branch.sets
             open_ += [(below, overlap) for below in branch.below]
         return found
 
 
-def link_forest(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, stored: np.ndarray) -> list[tuple[int, int]]:
+def link_forest(
+    ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, stored: np.ndarray, percent: int = LINK_PERCENT
+) -> list[tuple[int, int]]:
     """Links between probes and stored sets, no more than connect them: (id, id) pairs."""
     values, ranks, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.empty(len(values), np.int64)
@@ -138,7 +141,7 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, sto
     ranked = np.split(order[ranks], np.cumsum([len(s) for s in sets])[:-1])
     ranked = [np.sort(r) for r in ranked]
     kept = np.flatnonzero(stored)
-    tree = PrefixTree([ranked[k] for k in kept])
+    tree = PrefixTree([ranked[k] for k in kept], percent)
     held = np.zeros(len(values), bool)
     parent = list(range(len(ids)))
 
@@ -178,7 +181,7 @@ def _bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _nodes_and_tokens(docs: DataFrame, n: int, counts) -> DataFrame:
+def _nodes_and_tokens(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
     """A row for each document: its set's hash, size and bits, and the prefix of its order."""
     kind = docs.schema["doc"].dataType.simpleString()
 
@@ -189,7 +192,7 @@ def _nodes_and_tokens(docs: DataFrame, n: int, counts) -> DataFrame:
             for text in binary(batch, "text"):
                 members = shingle_set(text, n)
                 size = len(members)
-                prefix = size - int(least_overlap_of_equal(size)) + 1 if size else 0
+                prefix = size - int(least_overlap_of_equal(size, percent)) + 1 if size else 0
                 order = np.lexsort((members, rank[(members >> _SHIFT).astype(np.int64)]))
                 rows["f"].append(xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63))
                 rows["n"].append(size)
@@ -207,19 +210,19 @@ def _nodes_and_tokens(docs: DataFrame, n: int, counts) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, f long, n long, bits binary, tokens array<long>")
 
 
-def least_overlap_of_equal(size: int) -> int:
+def least_overlap_of_equal(size: int, percent: int = LINK_PERCENT) -> int:
     """The least overlap of a set of `size` with any set that it links with."""
-    return -(-LINK_PERCENT * size // 100)
+    return -(-percent * size // 100)
 
 
-def _pairs(few: DataFrame, bits: DataFrame) -> DataFrame:
+def _pairs(few: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Bundles of a set and the partners that sizes and bits do not rule out: (bundle, f, probe, stored).
 
     A token has few sets here, so the join by token makes a bounded number of pairs for each row.
     """
     sized = few.join(bits.select("f", "n"), "f")
     left, right = sized.toDF("a", "t", "na"), sized.toDF("b", "t", "nb")
-    fitting = F.expr(f"(nb < na or nb = na and b < a) and 100 * nb >= {LINK_PERCENT} * na")
+    fitting = F.expr(f"(nb < na or nb = na and b < a) and 100 * nb >= {percent} * na")
     pairs = left.join(right, "t").filter(fitting).select("a", "b").distinct()
     held = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
 
@@ -227,7 +230,7 @@ def _pairs(few: DataFrame, bits: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")]
             near = [
-                _differ(xa, xb) <= na + nb - 2 * least_overlap(na, nb)
+                _differ(xa, xb) <= na + nb - 2 * least_overlap(na, nb, percent)
                 for na, nb, xa, xb in zip(*columns, strict=True)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
@@ -257,9 +260,12 @@ def linked_components(
     n: int = SHINGLE_WORDS,
     paired: int = PAIRED,
     block_sets: int = BLOCK_SETS,
+    percent: int = LINK_PERCENT,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest linked id.
 
+    Sets of shingles of n words link when 100 * intersection >= percent * union.
+
     Equal sets are one node from the start, so copies are never compared. Shingles are
     ordered by how many documents have their hash value (counted over all documents, in
     an array of fixed size) and then by hash; sets that link share one of the first few
@@ -276,7 +282,7 @@ def linked_components(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(_bucket_counts(rows, n))
-    every = staged(_nodes_and_tokens(rows, n, counts), "sets")
+    every = staged(_nodes_and_tokens(rows, n, percent, counts), "sets")
     some = every.filter("n > 0 and doc is not null")
     nodes = staged(
         some.groupBy("f").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")),
@@ -289,7 +295,7 @@ def linked_components(
     few = grouped.filter(F.col("m") <= paired).select("t", "f")
     many = grouped.filter(F.col("m") > paired)
     bundles = staged(
-        _pairs(few, nodes.select("f", "n", "bits")).union(
+        _pairs(few, nodes.select("f", "n", "bits"), percent).union(
             _blocks(many.select("t", "f"), many.select("t", "m").distinct(), block_sets)
         ),
         "bundles",
@@ -307,18 +313,18 @@ def linked_components(
     sets = texts.mapInArrow(members, "f long, members array<long>")
 
     flagged = bundles.groupBy("bundle", "f").agg(F.max("probe").alias("probe"), F.max("stored").alias("stored"))
-    links = staged(_joined(flagged.join(sets.dropDuplicates(["f"]), "f")).distinct(), "links")
+    links = staged(_joined(flagged.join(sets.dropDuplicates(["f"]), "f"), percent).distinct(), "links")
     return _labelled(every, nodes, links, id_col)
 
 
-def _joined(rows: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within each bundle, which a task reads one after the other."""
 
     def links(bundle: list[tuple]) -> pa.RecordBatch:
         found: list[tuple[int, int]] = []
         if len(bundle) > 1:
             f, probe, stored, members = zip(*bundle, strict=True)
-            found = link_forest(np.array(f), list(members), np.array(probe), np.array(stored))
+            found = link_forest(np.array(f), list(members), np.array(probe), np.array(stored), percent)
         columns = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
