@@ -250,6 +250,20 @@ def test_quality_views_agree(docs, spark):
     assert len(got) == 302
 
 
+def test_quality_learns_from_every_unlabelled_row(docs, spark):
+    """One source is among unlabelled rows only, and rare there; more rows than a pool of 4,000 held."""
+    random.seed(9)
+    good, bad = [" ".join(random.choices("abcdefghijk", k=60)) for _ in range(50)], "x%% y&& " * 30
+    rows = [(i, good[i // 2 % 50] if i % 2 else bad, None, "ab"[i % 2], 480) for i in range(6000)]
+    rows += [(i, bad, None, "rare", 480) for i in range(6000, 6020)] + [(6020, bad * 250, None, "long", 480)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    model = quality.fit(table, known)
+    new, rare, long = (quality.metadata_view(None, source, 480) for source in ("never", "rare", "long"))
+    scores = model.metadata.scores(np.array([new, rare, long]))
+    assert scores[1] < 0.3 and scores[1] < scores[0] - 0.1 and scores[2] < scores[0] - 0.02
+
+
 def test_long_text_is_whole(docs):
     found = substrings.remove_repeats(docs([(1, LONG), (2, LONG)]), with_text=True).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [(1, 0), (2, 4000)]

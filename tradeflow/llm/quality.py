@@ -19,13 +19,11 @@ from .fitting import (
     labelled_ids,
     sample_rows,
 )
-from .texts import annotate
+from .texts import annotate, staged
 
-#: Unlabelled rows that the views may label for each other, rounds, and how many rows of
-#: each label a view passes on in a round.
-POOL_ROWS = 4_000
+#: Rounds in which the views label documents for each other, and what such a label counts.
 ROUNDS = 5
-PASSED_ON = 150
+GIVEN_WEIGHT = 0.5
 #: A view must be this sure of a label that it passes on.
 SURE = 0.9
 _BUCKETS = 32
@@ -78,34 +76,106 @@ class CoTrained:
         return self.vote.scores(np.stack([self.text.logits(text), self.metadata.logits(metadata)], 1))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> CoTrained:
-    """Rounds in which each view labels the pool rows it is surest of for the other.
+def _added(unlabelled: DataFrame, sums, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Arrays of the given sizes that `sums` makes of each batch's views, added over all rows by Spark."""
+    starts = np.cumsum([0, *sizes])
 
-    Both start from the labelled rows. A row leaves the pool once labelled. The vote is a
-    logistic model of both views' logits on the labelled rows, which calibrates them.
+    def run(batches):
+        total = np.zeros(starts[-1])
+        for batch in batches:
+            if batch.num_rows:
+                flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("text", "metadata")]
+                views = [x.reshape(batch.num_rows, -1) for x in flat]
+                total += np.concatenate([part.ravel() for part in sums(views)])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["k", "s"])
+
+    out = np.zeros(starts[-1])
+    for row in unlabelled.mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
+        out[row["k"]] = row["s"]
+    return np.split(out, starts[1:-1])
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def _start(views: tuple[np.ndarray, np.ndarray], unlabelled: DataFrame) -> list[Logistic]:
+    """No weights yet, but mean and scale of each view over the labelled and all unlabelled rows."""
+    widths = [x.shape[1] for x in views]
+
+    def sums(found):
+        return [part for x in found for part in (np.array([len(x)]), x.sum(0), (x * x).sum(0))]
+
+    rest = _added(unlabelled, sums, tuple(n for width in widths for n in (1, width, width)))
+    models = []
+    for k, x in enumerate(views):
+        count, first, second = (a + b for a, b in zip(sums([x]), rest[3 * k : 3 * k + 3], strict=True))
+        mean = first / count
+        scale = np.sqrt(np.maximum(second / count - mean**2, 0))
+        models.append(Logistic(mean, np.where(scale < 1e-6, 1.0, scale), np.zeros(len(mean) + 1)))
+    return models
+
+
+def _taught(
+    students: list[Logistic], teachers: list[Logistic], views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, unlabelled: DataFrame, ridge: float = 1.0
+) -> list[Logistic]:
+    """Both views, fitted on the labelled rows and on every row that the other view's teacher is sure of.
+
+    Newton steps as in fit_logistic; each reads all unlabelled rows once, for both views.
     """
-    extra: list[tuple[list[int], list[int]]] = [([], []), ([], [])]
-    left = np.ones(len(pool[0]), bool)
-
-    def fit(view: int) -> Logistic:
-        rows, given = extra[view]
-        x = np.vstack([views[view], pool[view][rows]]) if rows else views[view]
-        sure = np.concatenate([np.ones(len(labels)), np.full(len(rows), 0.5)])
-        return fit_logistic(x, np.concatenate([labels, given]), sure=sure)
-
-    models = [fit(0), fit(1)]
-    for _ in range(ROUNDS):
-        for view in (0, 1):
-            if not left.any():
-                break
-            scores = models[view].scores(pool[view])
-            for label, towards in ((1, scores), (0, 1 - scores)):
-                order = np.argsort(-np.where(left, towards, -1), kind="stable")[:PASSED_ON]
-                chosen = [int(k) for k in order if left[k] and towards[k] >= SURE]
-                extra[1 - view][0].extend(chosen)
-                extra[1 - view][1].extend([label] * len(chosen))
-                left[chosen] = False
-        models = [fit(0), fit(1)]
+
+    def sums(models, found, given, weights):
+        """Gradient and Hessian of each view by its columns and a constant."""
+        parts = []
+        for model, x, y, weight in zip(models, found, given, weights, strict=True):
+            p, x = model.scores(x), _ones(x)
+            parts += [x.T @ (weight * (p - y)), (x * (weight * p * (1 - p) + 1e-9 * (weight > 0))[:, None]).T @ x]
+        return parts
+
+    def taught(models):
+        def run(found):
+            towards = [teachers[1 - k].scores(found[1 - k]) for k in (0, 1)]
+            weights = [GIVEN_WEIGHT * (np.maximum(t, 1 - t) >= SURE) for t in towards]
+            return sums(models, found, [(t >= 0.5).astype(float) for t in towards], weights)
+
+        return run
+
+    sizes = tuple(n for x in views for n in (x.shape[1] + 1, (x.shape[1] + 1) ** 2))
+    models = list(students)
+    for _ in range(30):
+        rest = _added(unlabelled, taught(tuple(models)), sizes)
+        own = sums(models, views, (labels, labels), [np.ones(len(labels))] * 2)
+        largest = 0.0
+        for k, model in enumerate(models):
+            width = len(model.weights)
+            # from columns to standardised columns
+            to = np.diag(np.append(1 / model.scale, 1.0))
+            to[:-1, -1] = -model.mean / model.scale
+            penalty = np.full(width, ridge)
+            penalty[-1] = 1e-6
+            gradient = to @ (own[2 * k] + rest[2 * k]) + penalty * model.weights
+            hessian = to @ (own[2 * k + 1] + rest[2 * k + 1].reshape(width, width)) @ to.T + np.diag(penalty)
+            step = np.linalg.solve(hessian, gradient)
+            models[k] = Logistic(model.mean, model.scale, model.weights - step)
+            largest = max(largest, np.abs(step).max())
+        if largest < 1e-6:
+            break
+    return models
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, unlabelled: DataFrame) -> CoTrained:
+    """Rounds in which each view labels all unlabelled rows that it is sure of for the other.
+
+    Both start from the labelled rows. Every round scores every unlabelled row anew with
+    both views; a row counts for a view if the other one is sure of its label. The vote is
+    a logistic model of both views' logits on the labelled rows, which calibrates them.
+    """
+    models = [fit_logistic(x, labels) for x in views]
+    if len(set(labels.tolist())) == 2:
+        students = _start(views, unlabelled)
+        for _ in range(ROUNDS):
+            models = students = _taught(students, models, views, labels, unlabelled)
     logits = np.stack([models[k].logits(views[k]) for k in (0, 1)], 1) if len(labels) else np.zeros((0, 2))
     return CoTrained(models[0], models[1], fit_logistic(logits, labels))
 
@@ -116,20 +186,41 @@ def _views(rows, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return text, metadata.reshape(len(rows), 3 + 2 * _BUCKETS)
 
 
+def _unlabelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Both views of every row that has no row in labels: (text, metadata), written once."""
+
+    def run(batch):
+        return [pa.array(view.tolist(), pa.list_(pa.float64())) for view in _views(_rows(batch, text_col), text_col)]
+
+    viewed = annotate(_typed(docs, id_col, text_col), {"text": "array<double>", "metadata": "array<double>"}, run, [id_col])
+    rest = viewed.join(labels.select(id_col), id_col, "left_anti")
+    return staged(rest.select("text", "metadata"), "unlabelled")
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS
 ) -> CoTrained:
-    """Fits on at most `rows` labelled rows of each label that are not held out, and `pool_rows` others.
+    """Fits on at most `rows` labelled rows of each label that are not held out, and on all rows without labels.
 
-    Texts over SAMPLE_TEXT_BYTES are not learnt from. With no label or only one, the
-    score is a constant.
+    Labelled texts over SAMPLE_TEXT_BYTES are not learnt from; of unlabelled rows, all
+    are, and copies each count. The driver gets sums over them only. With no label or
+    only one, the score is a constant.
     """
     columns = [text_col, "lang", "source", "n_chars"]
     found = sample_rows(docs, labelled_ids(labels, "quality", id_col, rows), columns, id_col, text_col)
-    unlabelled = docs.select(id_col).join(labels.select(id_col), id_col, "left_anti")
-    chosen = unlabelled.filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(pool_rows)
-    others = sample_rows(docs, chosen.withColumn("label", F.lit(-1)), columns, id_col, text_col)
-    return co_train(_views(found, text_col), np.array([row["label"] for row in found], float), _views(others, text_col))
+    given = np.array([row["label"] for row in found], float)
+    return co_train(_views(found, text_col), given, _unlabelled(docs, labels, id_col, text_col))
+
+
+def _typed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        id_col, F.col(text_col).cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")
+    )
+
+
+def _rows(batch: pa.RecordBatch, text_col: str) -> list[dict]:
+    names = (text_col, "lang", "source", "n_chars")
+    return [dict(zip(names, values, strict=True)) for values in zip(*(batch.column(c).to_pylist() for c in names), strict=True)]
 
 
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,16 +231,11 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: s
     """
 
     def run(batch):
-        names = (text_col, "lang", "source", "n_chars")
-        rows = [dict(zip(names, values, strict=True)) for values in zip(*(batch.column(c).to_pylist() for c in names), strict=True)]
-        text, metadata = _views(rows, text_col)
+        text, metadata = _views(_rows(batch, text_col), text_col)
         scores = model.scores(text, metadata)
         made = (scores, model.text.scores(text), model.metadata.scores(metadata))
         return [*(pa.array(x, pa.float64()) for x in made), pa.array((scores >= 0.5).astype(np.int32))]
 
     results = {"score": "double", "text_score": "double", "metadata_score": "double", "predicted": "int"}
-    typed = docs.select(
-        id_col, F.col(text_col).cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")
-    )
-    scored = annotate(typed, results, run, [id_col])
+    scored = annotate(_typed(docs, id_col, text_col), results, run, [id_col])
     return scored.withColumn("held_out", held_out(id_col)).select(id_col, "held_out", *results)
