@@ -45,7 +45,8 @@ def test_stages_by_brute_force(spark):
     items = [(r["item_id"], r["text"]) for r in table(spark, SMALL, "benchmark").collect()]
     ids = {name: {r["doc_id"] for r in df.collect()} for name, df in kept.items()}
     assert all(df.columns == docs.columns for df in kept.values())
-    assert ids["n-gram Jaccard join"] == {i for i, (_, c) in brute.linked(rows).items() if i == c}
+    near = brute.linked(rows, corpus_pipeline.NEAR_WORDS, (corpus_pipeline.NEAR_PERCENT, 100))
+    assert ids["n-gram Jaccard join"] == {i for i, (_, c) in near.items() if i == c}
     assert ids["benchmark decontamination"] == {i for i, x in brute.leaks(rows, items).items() if not x[4]}
     clean = {r["doc_id"]: r["text"] for r in kept["secret scans"].collect()}
     assert set(clean) == dict(rows).keys()
