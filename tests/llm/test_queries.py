@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="the tables are
 
 
 def test_ten_operators_and_their_numbers():
-    assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_contracts(spark):

@@ -18,6 +18,7 @@ from . import (
     sharding,
     substrings,
     topk,
+    token_count,
     toxicity,
 )
 from .texts import table
@@ -74,6 +75,11 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_text.page_text(table(spark, folder, "pages"), keep=["page_id", "url"])
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, keep=["doc_id"])
+
+
 def queries() -> dict[str, Query]:
     named = {
         name: made for name, made in globals().items() if name.startswith("op") and callable(made)
