@@ -14,6 +14,7 @@ from . import (
     packing,
     page_text,
     quality,
+    resampling,
     secret_scan,
     sharding,
     substrings,
@@ -80,6 +81,12 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(docs, keep=["doc_id"])
 
 
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
     named = {
         name: made for name, made in globals().items() if name.startswith("op") and callable(made)
