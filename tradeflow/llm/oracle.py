@@ -172,6 +172,51 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+#: Every phrase of 1 to 5 words within pieces, counted per language; cuts and holders by joins.
+COLLOCATIONS = r"""
+WITH docs AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+), pieces AS (
+    SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), grams AS (
+    SELECT lang, m, w[k : k + m - 1] AS g, count(*) AS f
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k
+          FROM words, (SELECT unnest(range(1, 6)) AS m) AS sizes WHERE len(w) >= m)
+    GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+    SELECT c.lang, c.g, c.m, c.f AS a, t.n, k, h.f AS l, r.f AS r,
+           CAST((1000::HUGEINT * c.f * t.n) // (h.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM (SELECT lang, g, m, f, unnest(range(1, m)) AS k FROM grams WHERE m >= 2) AS c
+    JOIN totals AS t USING (lang)
+    JOIN grams AS h ON h.lang = c.lang AND h.g = c.g[1 : k]
+    JOIN grams AS r ON r.lang = c.lang AND r.g = c.g[k + 1 : c.m]
+), best AS (
+    SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS pick FROM cuts
+    ) WHERE pick = 1
+), holders AS (
+    SELECT lang, g[p : p + span - 1] AS g, max(f) AS held
+    FROM (SELECT lang, g, f, span, unnest(range(1, m - span + 2)) AS p
+          FROM (SELECT lang, g, f, m, unnest(range(2, m)) AS span FROM grams WHERE m >= 3))
+    GROUP BY ALL
+), kept AS (
+    SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score
+    FROM best AS b LEFT JOIN holders AS o ON o.lang = b.lang AND o.g = b.g
+    WHERE o.held IS NULL OR o.held < b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank
+    FROM kept
+) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": DECONTAMINATION,
@@ -179,4 +224,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard": JACCARD,
         "op8_secret_scan": secrets(),
         "op9_exact_top_k": TOP_K,
+        "op13_phrase_collocations": COLLOCATIONS,
     }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tradeflow.session import work_dir
 
 from . import (
+    collocations,
     decontaminate,
     jaccard,
     packing,
@@ -87,6 +88,10 @@ def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     named = {
         name: made for name, made in globals().items() if name.startswith("op") and callable(made)
