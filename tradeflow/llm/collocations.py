@@ -28,6 +28,7 @@ are broadcast.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -138,30 +139,37 @@ def step(base: np.ndarray, check: np.ndarray, states: np.ndarray, labels: np.nda
     return np.where(ok & (check[t] == states), t, -1)
 
 
-def extension_counts(ids: DataFrame, trie, level: int) -> DataFrame:
+def flat_ids(column: pa.ListArray) -> np.ndarray:
+    """All id arrays of a batch in one, each followed by -1, read from Arrow's buffers."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    offsets = column.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    words = np.full(len(values) + len(column), -1, np.int64)
+    words[np.arange(len(values)) + np.repeat(np.arange(len(column)), lengths)] = values
+    return words
+
+
+def extension_counts(ids: DataFrame, trie, level: int, labels: int) -> DataFrame:
     """(node, word, c): how often a frequent phrase of level-1 words is followed by a word
-    that ends another one."""
+    that ends another one. A pair is counted as the one number node * (labels + 1) + word."""
+    width = labels + 1
 
     def count(batches):
         base, check = trie.value
         for batch in batches:
-            arrays = batch.column("ids").to_pylist()
-            words = np.fromiter(
-                (w for a in arrays for w in (*a, -1)), np.int64, sum(len(a) + 1 for a in arrays)
-            )
-            states = np.zeros(len(words) + 1, np.int64)
-            padded = np.concatenate([words, [-1]])
+            padded = np.concatenate([flat_ids(batch.column("ids")), [-1]])
+            states = np.zeros(len(padded), np.int64)
             for j in range(level - 1):
-                shifted = np.concatenate([padded[j:], np.full(j, -1)])
-                states = step(base, check, states, shifted)
-            nxt = np.concatenate([states[1:], [-1]])
-            last = np.concatenate([padded[level - 1 :], np.full(level - 1, -1)])
-            safe = (states >= 0) & (nxt >= 0)
-            if not safe.any():
+                states = step(base, check, states, np.concatenate([padded[j:], np.full(j, -1)]))
+            safe = states >= 0
+            safe[:-1] &= states[1:] >= 0
+            safe[-1] = False
+            at = np.flatnonzero(safe)
+            if not len(at):
                 continue
-            keys, counts = np.unique(np.stack([states[safe], last[safe]]), axis=1, return_counts=True)
+            keys, counts = np.unique(states[at] * width + padded[at + level - 1], return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(counts, pa.int64())],
+                [pa.array(keys // width), pa.array(keys % width), pa.array(counts.astype(np.int64))],
                 ["node", "word", "c"],
             )
 
@@ -187,9 +195,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     def to_ids(batches):
         known = table.value
         for batch in batches:
-            out = []
+            values, offsets = array("q"), array("q", [0])
             for lang, text in zip(_langs(batch), _texts(batch), strict=True):
-                row: list[int] = []
+                row = array("q")
                 for piece in pieces(text):
                     for w in piece:
                         k = known.get((lang, w), -1)
@@ -199,9 +207,13 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
                         row.append(-1)
                 while row and row[-1] < 0:
                     row.pop()
-                if sum(1 for a, b in zip(row, row[1:]) if a >= 0 and b >= 0):
-                    out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["ids"])
+                if any(a >= 0 and b >= 0 for a, b in zip(row, row[1:])):
+                    values.extend(row)
+                    offsets.append(len(values))
+            column = pa.ListArray.from_arrays(
+                pa.array(np.frombuffer(offsets, np.int64).astype(np.int32)), pa.array(np.frombuffer(values, np.int64))
+            )
+            yield pa.RecordBatch.from_arrays([column], ["ids"])
 
     id_rows = staged(docs.mapInArrow(to_ids, "ids array<bigint>"), "collocation_ids")
     trie = DoubleArray(len(vocab))
@@ -213,7 +225,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
         if trie.nbytes() > MAX_TRIE_BYTES:
             raise ValueError(f"the trie of frequent phrases takes {trie.nbytes()} bytes")
         shared = spark.sparkContext.broadcast((trie.base, trie.check))
-        grown = extension_counts(id_rows, shared, level).filter(F.col("c") >= min_count)
+        grown = extension_counts(id_rows, shared, level, len(vocab)).filter(F.col("c") >= min_count)
         children: dict[int, list[tuple[int, int]]] = {}
         for r in grown.collect():
             children.setdefault(r["node"], []).append((r["word"], r["c"]))
