@@ -27,6 +27,7 @@ from ..sources import (
     split_changes,
 )
 from ..streaming import anomaly as stream_rules
+from ..streaming import price_state
 from ..streaming import changes as stream_changes
 from ..streaming import state, subscriptions, windows
 
@@ -475,14 +476,17 @@ def stream_changes_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unzoned(stream_changes.read_current(spark, f"{place}/out"), "event_time")
 
 
-def _rule_stream(name: str, rule: stream_rules.OrderedRules, *evidence: str) -> Query:
+def _rule_stream(name: str, zscore: float | None, jump: float | None, *evidence: str) -> Query:
+    """Price rules of a stream whose rows wait in Spark's state store for the watermark."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = work_dir(spark, name)
-        query = stream_rules.start_rules(
-            trade_stream(spark, sf_dir), rule, f"{place}/out", f"{place}/checkpoint", "12 hours"
+        query = price_state.start_price_rules(
+            trade_stream(spark, sf_dir), f"{place}/out", f"{place}/checkpoint", "12 hours",
+            zscore=zscore, jump=jump,
         )
         state.finish(query)
-        found = stream_rules.read_anomalies(spark, f"{place}/out")
+        found = price_state.read_anomalies(spark, f"{place}/out")
         return _unzoned(_flat(found, *evidence), "event_time")
 
     return run
@@ -490,20 +494,32 @@ def _rule_stream(name: str, rule: stream_rules.OrderedRules, *evidence: str) ->
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The z-score of a stream whose late trades no rule sees."""
-    found = stream_rules.read_anomalies(spark, _with_late_trades(spark, sf_dir))
+    found = price_state.read_anomalies(spark, _with_late_trades(spark, sf_dir))
     return _unzoned(_flat(found, "price", "mean", "deviation"), "event_time")
 
 
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The late trades of the same stream, which are kept apart, by ticker."""
-    late = spark.read.parquet(f"{_with_late_trades(spark, sf_dir)}/late")
+    """The late trades of the same stream, which are kept apart, by ticker.
+
+    Spark's stateful processor drops rows older than the watermark of the batch before
+    before it sees them, so only the rows between that and the present watermark reach
+    ``price_state.read_late``. All late rows, by ticker, come from the rules kept in
+    per-batch folders.
+    """
+    place = work_dir(spark, "late_rows")
+    trades, rule = trade_stream(spark, sf_dir, "late"), stream_rules.price_rules(jump=None)
+    state.finish(stream_rules.start_rules(trades, rule, f"{place}/out", f"{place}/checkpoint", "12 hours"))
+    late = spark.read.parquet(f"{place}/out/late")
     return late.groupBy("ticker").agg(F.count(F.lit(1)).alias("late"))
 
 
 def _with_late_trades(spark: SparkSession, sf_dir: str) -> str:
     place = work_dir(spark, "late")
-    trades, rule = trade_stream(spark, sf_dir, "late"), stream_rules.price_rules(jump=None)
-    state.finish(stream_rules.start_rules(trades, rule, f"{place}/out", f"{place}/checkpoint", "12 hours"))
+    trades = trade_stream(spark, sf_dir, "late")
+    query = price_state.start_price_rules(
+        trades, f"{place}/out", f"{place}/checkpoint", "12 hours", jump=None
+    )
+    state.finish(query)
     return f"{place}/out"
 
 
@@ -589,10 +605,8 @@ def queries() -> dict[str, Query]:
         "stream_latest": stream_latest,
         "stream_sampler": stream_sampler,
         "stream_changes_current": stream_changes_current,
-        "stream_zscore": _rule_stream(
-            "zscore", stream_rules.price_rules(jump=None), "price", "mean", "deviation"
-        ),
-        "stream_jump": _rule_stream("jump", stream_rules.price_rules(zscore=None, jump=5.0), "price", "previous"),
+        "stream_zscore": _rule_stream("zscore", 3.0, None, "price", "mean", "deviation"),
+        "stream_jump": _rule_stream("jump", None, 5.0, "price", "previous"),
         "stream_late": stream_late,
         "stream_late_rows": stream_late_rows,
         "stream_volume": stream_volume,
