@@ -114,3 +114,48 @@ def test_changes_of_one_moment_have_one_outcome(spark):
     assert len(found) == 1
     placed = [json.loads(m) | {"source": {"lsn": at}} for m, at in zip(ties, (5, 9, 7))]
     assert _current(spark, [json.dumps(m) for m in placed]) == {"00000001": 2.0}
+
+
+def _bytes64(unscaled, width=None):
+    import base64
+
+    width = width or max(1, (unscaled.bit_length() + 8) // 8)
+    return base64.b64encode(unscaled.to_bytes(width, "big", signed=True)).decode()
+
+
+def test_binary_decimal_reads_twos_complement_of_any_width(spark):
+    from decimal import Decimal, localcontext
+
+    from pyspark.sql import functions as F
+
+    from tradeflow.functions import binary_decimal
+
+    rng = random.Random(3)
+    numbers = [0, 1, -1, 127, 128, -128, -129, 10**37, -(10**38 - 1), 10**38 - 1, 2**127 - 1, -(2**127)]
+    numbers += [rng.randrange(-(2**126), 2**126) // rng.choice([1, 10**12, 10**30]) for _ in range(60)]
+    rows = [(_bytes64(n), n) for n in numbers] + [(_bytes64(n, 16), n) for n in numbers[:8]]
+    rows += [("not base64!", None), ("", None), (None, None), (_bytes64(1, 17), None)]
+    frame = spark.createDataFrame([(text, None if n is None else str(n)) for text, n in rows], "t string, n string")
+    for scale in (0, 2, 9):
+        got = frame.select("n", binary_decimal(F.col("t"), scale).alias("d")).collect()
+        with localcontext() as exact:
+            exact.prec = 100
+            for row in got:
+                fits = row.n is not None and abs(int(row.n)) < 10**38
+                assert row.d == (Decimal(int(row.n)).scaleb(-scale) if fits else None), row
+
+
+def test_binary_prices_are_read_and_bad_bytes_rejected(spark):
+    messages = [
+        _event("c", 1, None, _image(1, _bytes64(-1050))),
+        _event("c", 1, None, _image(2, _bytes64(1225, 16))),
+        _event("c", 1, None, _image(3, "%%%")),
+        _event("c", 1, None, _image(4, _bytes64(10**40))),
+    ]
+    frame = spark.createDataFrame([(m,) for m in messages], "value string")
+    usable, rejected = split_changes(parse_changes(frame, {"price": 2}))
+    assert {r["event_id"][:8]: r["price"] for r in apply_changes(usable).collect()} == {
+        "00000001": -10.5,
+        "00000002": 12.25,
+    }
+    assert sorted(r["problem"] for r in rejected.collect()) == ["unreadable price"] * 2

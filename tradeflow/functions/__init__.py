@@ -1,4 +1,5 @@
 from .scalar import (
+    binary_decimal,
     bucket_start,
     exact_total,
     interval,
@@ -10,6 +11,7 @@ from .scalar import (
 )
 
 __all__ = [
+    "binary_decimal",
     "bucket_start",
     "exact_total",
     "interval",

@@ -96,3 +96,34 @@ def iso_text(df: DataFrame, column: str, time: Column | None = None) -> Column:
         F.when(fraction == ".000000", "").otherwise(fraction),
         F.lit("+00:00"),
     )
+
+
+_TWO_TO_64 = 18446744073709551616
+
+
+def binary_decimal(text: Column, scale: int, precision: int = 38) -> Column:
+    """Base64 of a big-endian two's complement unscaled number as ``decimal(precision, scale)``.
+
+    This is how a change connector sends a fixed-scale NUMERIC when no decimal mode is
+    set: the bytes of ``value * 10**scale``. Up to 16 bytes, negative values included.
+    Null when ``text`` is null, not base64, empty, longer than 16 bytes, or when the value
+    does not fit the decimal type; a reader can tell the last cases from a missing value.
+    """
+    if not 0 <= scale <= precision <= 38:
+        raise ValueError(f"no decimal({precision}, {scale})")
+    digits = F.hex(F.try_to_binary(text, F.lit("base64")))
+    fits = F.length(digits).between(2, 32)
+    negative = digits >= F.lit("8")  # the first hex digit holds the sign bit
+    # A negative number is -(1 + the number of its inverted bits); both are unsigned.
+    bits = F.when(negative, F.translate(digits, "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(digits)
+    padded = F.lpad(bits, 32, "0")
+
+    def half(start: int) -> Column:
+        return F.conv(F.substr(padded, F.lit(start), F.lit(16)), 16, 10).cast("decimal(20,0)")
+
+    wide = F.try_add(F.try_multiply(half(1), F.lit(str(_TWO_TO_64)).cast("decimal(20,0)")), half(17))
+    magnitude = F.try_add(wide, negative.cast("decimal(1,0)")).cast("string")
+    if scale:  # the point goes before the last ``scale`` digits of the zero-padded number
+        magnitude = F.regexp_replace(F.lpad(magnitude, 40, "0"), f"([0-9]{{{scale}}})$", ".$1")
+    signed = F.concat(F.when(negative, "-").otherwise(""), magnitude)
+    return F.when(fits, signed.try_cast(f"decimal({precision},{scale})"))

@@ -179,6 +179,12 @@ _ORDERS_LEFT = """
     FROM orders WHERE o_orderkey % 5 <> 0
 """
 
+_ORDERS_LEFT_SIGNED = _ORDERS_LEFT.replace(
+    "CAST(CASE WHEN o_orderkey % 3 = 0",
+    "CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 1 END * CAST(CASE WHEN o_orderkey % 3 = 0",
+)
+
+
 def _arrivals(rule: str) -> str:
     return (
         f"SELECT * FROM (SELECT {_bucket('event_time', 600)} AS bucket_start, count(*) AS n,"
@@ -397,6 +403,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_health": _health(True, _arrivals("price <= 100")),
         "changes_current": _ORDERS_LEFT,
+        "changes_decimal": _ORDERS_LEFT_SIGNED,
         "changes_rejected": """
             SELECT CASE o_orderkey % 4 WHEN 1 THEN 'no time of change' WHEN 3 THEN 'null value'
                    ELSE 'no such operation' END AS problem,

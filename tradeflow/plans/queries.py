@@ -388,6 +388,13 @@ def changes_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unzoned(changes.apply_changes(usable), "event_time")
 
 
+def changes_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current trades from a feed whose prices come as two's complement bytes (scale 2)."""
+    feed = orders_as_change_feed(_table(spark, sf_dir, "orders"), binary_scale=2)
+    usable, _ = split_changes(parse_changes(feed, {"price": 2}))
+    return _unzoned(changes.apply_changes(usable), "event_time")
+
+
 def changes_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message cut short, altered or emptied on its way, with the reason."""
     order = F.floor(F.regexp_extract("value", '"ts_ms":([0-9]+)', 1).cast("long") / 10)
@@ -596,6 +603,7 @@ def queries() -> dict[str, Query]:
         "anomaly_messages": anomaly_messages,
         "stream_health": stream_health,
         "changes_current": changes_current,
+        "changes_decimal": changes_decimal,
         "changes_rejected": changes_rejected,
         "changes_bootstrap": changes_bootstrap,
         "copies_removed": copies_removed,

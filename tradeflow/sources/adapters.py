@@ -44,14 +44,29 @@ def lineitem_as_trades(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def orders_as_change_feed(orders: DataFrame) -> DataFrame:
+def _unscaled_base64(price: Column, scale: int, wide: Column) -> Column:
+    """Base64 of the big-endian two's complement bytes of ``price * 10**scale``: 8 bytes,
+    or 16 sign-extended ones where ``wide``."""
+    number = (price * 10**scale).cast("long")
+    eight = F.lpad(F.hex(number), 16, "0")
+    sixteen = F.lpad(eight, 32, F.when(number < 0, "F").otherwise("0"))
+    return F.base64(F.unhex(F.when(wide, sixteen).otherwise(eight)))
+
+
+def orders_as_change_feed(orders: DataFrame, binary_scale: int | None = None) -> DataFrame:
     """Orders as JSON change events in a ``value`` column.
 
     Every order is created; a third is updated, a fifth deleted, and of the
-    updates every second one repeats, as a connector may deliver twice.
+    updates every second one repeats, as a connector may deliver twice. With
+    ``binary_scale``, prices go as base64 bytes of the unscaled number, as a connector
+    sends NUMERIC columns by default; orders whose key is divisible by 7 are then
+    refunds with a negative price, and even keys take 16 bytes instead of 8.
     """
 
     def image(price: Column) -> Column:
+        if binary_scale is not None:
+            signed = F.when(F.col("o_orderkey") % 7 == 0, -price).otherwise(price)
+            price = _unscaled_base64(signed, binary_scale, F.col("o_orderkey") % 2 == 0)
         return F.struct(
             F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_time"),
             F.col("o_orderkey").cast("string").alias("event_id"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import binary_decimal
 from ..schema import ENVELOPE, TRADE_COLUMNS
 
 
@@ -49,7 +52,7 @@ def _moment(text: Column) -> Column:
     return F.coalesce(F.timestamp_micros(micros), text.try_cast("timestamp"))
 
 
-def _image(row: str) -> Column:
+def _image(row: str, binary: Mapping[str, int]) -> Column:
     """A row image with the types of a raw trade, null when the image is null."""
     kinds = {"price": "double", "volume": "long"}
     fields = []
@@ -57,17 +60,23 @@ def _image(row: str) -> Column:
         field = F.col(f"{row}.{name}")
         if name == "event_time":
             field = _moment(field)
+        elif name in binary:
+            field = binary_decimal(field, binary[name]).cast(kinds.get(name, "string"))
         elif name in kinds:
             field = field.try_cast(kinds[name])
         fields.append(field.alias(name))
     return F.when(F.col(row).isNotNull(), F.struct(*fields))
 
 
-def parse_changes(raw: DataFrame) -> DataFrame:
+def parse_changes(raw: DataFrame, binary_decimals: Mapping[str, int] | None = None) -> DataFrame:
     """Typed changes, plus ``problem``: null for a usable one, else the reason.
 
     ``event_id`` is the identity of the changed row. Works on batches and streams.
+    ``binary_decimals`` names the fields that come as base64 bytes of an unscaled
+    number, with their scale: a connector without a decimal mode sends NUMERIC columns
+    so. Such a field that is not base64 or does not fit is ``unreadable``, not null.
     """
+    binary = dict(binary_decimals or {})
     if "position" not in raw.columns:
         raw = raw.withColumn("position", F.lit(None).cast("long"))
     # A generator, because a filter on parsed fields would otherwise be pushed
@@ -79,8 +88,8 @@ def parse_changes(raw: DataFrame) -> DataFrame:
         F.struct(*[F.col(f"after.{name}").alias(name) for name in TYPED]).alias("sent"),
         "op",
         "ts_ms",
-        _image("before").alias("before"),
-        _image("after").alias("after"),
+        _image("before", binary).alias("before"),
+        _image("after", binary).alias("after"),
     )
     key = F.coalesce(F.col("after.event_id"), F.col("before.event_id"))
     op = F.coalesce(F.col("op"), F.lit(""))
