@@ -56,6 +56,27 @@ def test_closed_candles_of_a_stream_are_those_of_the_batch(spark, make, feed_fil
     assert _set(found.select(names)) == _set(whole.select(names))
 
 
+def test_chained_windows_of_a_stream_equal_the_batch_roll_up_on_closed_windows(
+    spark, make, feed_files, stream_of, tmp_path
+):
+    rows = _rows(900, 4 * 3600, seed=6)
+    for n, part in enumerate(_spread(rows, 6)):
+        folder = feed_files(n, part)
+    stream = windows.rollup_stream(stream_of(folder), ["10 seconds", "1 minute", "30 minutes"], "5 minutes")
+    state.finish(state.start(stream, f"{tmp_path}/out", f"{tmp_path}/cp"))
+    found = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+    mark = max(r[0] for r in rows) - timedelta(minutes=5)
+    fine = candles.candles(make(rows), "10 seconds")
+    whole = candles.roll_up(candles.roll_up(fine, "1 minute"), "30 minutes").where(
+        F.col("bucket_start") + F.expr("INTERVAL 30 MINUTES") <= F.lit(mark)
+    )
+    names = ["ticker", "bucket_start", "open", "high", "low", "close", "volume", "trades", "cents"]
+    assert len(_set(whole)) >= 10
+    assert _set(found.select(names)) == _set(whole.select(names))
+    with pytest.raises(ValueError):
+        windows.rollup_stream(stream_of(folder), ["1 minute", "90 seconds"], "5 minutes")
+
+
 def test_late_rows_change_nothing_and_are_counted(spark, feed_files, stream_of, tmp_path):
     feed_files(0, [trade(1, 10), trade(2, 1000)])
     feed_files(1, [trade(3, 2000)])

@@ -44,24 +44,29 @@ def candles(trades: DataFrame, width: str) -> DataFrame:
     All measures can be merged further: ``first_key`` and ``last_key`` say which
     trade gave the open and the close, ``cents`` is the exact money volume.
     """
-    when = F.struct("event_time", "event_id")
     return (
         trades.withColumn("bucket_start", bucket_start("event_time", width))
         .groupBy("ticker", "bucket_start")
-        .agg(
-            F.min_by("price", when).alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", when).alias("close"),
-            F.sum("volume").alias("volume"),
-            F.count(F.lit(1)).alias("trades"),
-            exact_total(price_cents() * F.col("volume")).alias("cents"),
-            F.min(when).alias("first_key"),
-            F.max(when).alias("last_key"),
-        )
+        .agg(*candle_measures())
     )
 
 
+def candle_measures() -> list[Column]:
+    """The measures of ``candles`` over trades, for batches and streams."""
+    when = F.struct("event_time", "event_id")
+    return [
+        F.min_by("price", when).alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", when).alias("close"),
+        F.sum("volume").alias("volume"),
+        F.count(F.lit(1)).alias("trades"),
+        exact_total(price_cents() * F.col("volume")).alias("cents"),
+        F.min(when).alias("first_key"),
+        F.max(when).alias("last_key"),
+    ]
+
+
 def roll_up(fine: DataFrame, width: str, fine_width: str | None = None) -> DataFrame:
     """Candles of a wider bucket from finer ones, without reading trades again.
 
@@ -72,20 +77,25 @@ def roll_up(fine: DataFrame, width: str, fine_width: str | None = None) -> DataF
     return (
         fine.withColumn("bucket_start", bucket_start("bucket_start", width))
         .groupBy("ticker", "bucket_start")
-        .agg(
-            F.min_by("open", "first_key").alias("open"),
-            F.max("high").alias("high"),
-            F.min("low").alias("low"),
-            F.max_by("close", "last_key").alias("close"),
-            F.sum("volume").alias("volume"),
-            F.sum("trades").alias("trades"),
-            F.sum("cents").cast("decimal(38,0)").alias("cents"),
-            F.min("first_key").alias("first_key"),
-            F.max("last_key").alias("last_key"),
-        )
+        .agg(*roll_up_measures())
     )
 
 
+def roll_up_measures() -> list[Column]:
+    """The measures of ``roll_up`` over finer candles, for batches and streams."""
+    return [
+        F.min_by("open", "first_key").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "last_key").alias("close"),
+        F.sum("volume").alias("volume"),
+        F.sum("trades").alias("trades"),
+        F.sum("cents").cast("decimal(38,0)").alias("cents"),
+        F.min("first_key").alias("first_key"),
+        F.max("last_key").alias("last_key"),
+    ]
+
+
 def candle_report(merged: DataFrame) -> DataFrame:
     """Candles as shown to a reader, with money and average price per share."""
     money = F.col("cents").cast("double") / 100

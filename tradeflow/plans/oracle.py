@@ -362,6 +362,8 @@ def oracle_sql() -> dict[str, str]:
             " count(*) AS trades FROM trades GROUP BY 1, 2"
         ),
         "candles_rollup": _candles("day"),
+        "stream_rollup": "SELECT * FROM (" + _candles("day") + ") AS days WHERE bucket_start"
+        " + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
         "candle_gaps": _trades(
             """
             SELECT b.ticker, b.bucket_start, high, low, trades

@@ -434,6 +434,15 @@ def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unzoned(closed, "bucket_start")
 
 
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day candles of a stream through minute and hour windows in one query: closed days."""
+    place = work_dir(spark, "rollup")
+    stream = windows.rollup_stream(trade_stream(spark, sf_dir), ["1 minute", "1 hour", "1 day"], DELAY)
+    state.finish(state.start(stream, f"{place}/out", f"{place}/checkpoint"))
+    closed = spark.read.schema(stream.schema).parquet(f"{place}/out")
+    return _unzoned(candles.candle_report(closed), "bucket_start")
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_dir(spark, "dedup")
     trades = trade_stream(spark, sf_dir, "twice")
@@ -590,6 +599,7 @@ def queries() -> dict[str, Query]:
         "candles_day": _candle_query("1 day"),
         "candles_line_day": candles_line_day,
         "candles_rollup": candles_rollup,
+        "stream_rollup": stream_rollup,
         "candle_gaps": candle_gaps,
         "anomaly_zscore": anomaly_zscore,
         "anomaly_zscore_split": anomaly_zscore_split,

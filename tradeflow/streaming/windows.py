@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import anomaly
-from ..operators.candles import tick_measures
+from ..operators.candles import candle_measures, roll_up_measures, tick_measures
+from ..functions import interval_seconds
 
 
 def distinct_trades(trades: DataFrame, delay: str, salted: bool = False) -> DataFrame:
@@ -75,3 +76,25 @@ def bucket_rule_stream(
         rules.append(anomaly.range_rule(price_range))
     buckets = windowed(trades, width, delay, anomaly.bucket_measures(), "ticker")
     return anomaly.emit(buckets, *rules)
+
+
+def rollup_stream(trades: DataFrame, widths: list[str], delay: str | None) -> DataFrame:
+    """Candles of the widest of ``widths`` through a chain of window aggregations.
+
+    The first aggregation makes candles of ``widths[0]`` from trades; each next one
+    groups the closed windows of the one before by ``window_time`` into wider windows,
+    all in one query with one watermark, so no level reads trades again. Each width must
+    be a multiple of the one before. In append mode a window is written once the
+    watermark has passed its end, and with it every finer window it holds.
+    """
+    for finer, wider in zip(widths, widths[1:]):
+        if interval_seconds(wider) % interval_seconds(finer):
+            raise ValueError(f"{wider} is no multiple of {finer}")
+    level = _with_watermark(trades, delay).groupBy(
+        F.window("event_time", widths[0]).alias("_window"), "ticker"
+    ).agg(*candle_measures())
+    for width in widths[1:]:
+        level = level.groupBy(
+            F.window(F.window_time("_window"), width).alias("_window"), "ticker"
+        ).agg(*roll_up_measures())
+    return level.select(F.col("_window.start").alias("bucket_start"), "*").drop("_window")
