@@ -10,6 +10,7 @@ from tradeflow.operators.candles import (
     candle_report,
     candles,
     fill_gaps,
+    gap_spans,
     roll_up,
     tick_candles,
     ticker_spans,
@@ -133,3 +134,26 @@ def test_roll_up_refuses_a_width_that_does_not_fit(make):
     with pytest.raises(ValueError):
         roll_up(fine, "90 seconds", "1 minute")
     assert roll_up(fine, "1 hour", "1 minute").count() == 1
+
+
+def test_gap_spans_expand_to_the_empty_buckets_of_fill_gaps(spark, make):
+    rng = random.Random(11)
+    rows = [trade(k, rng.choice([0, 1, 2, 5, 6, 30, 31, 33]) * 600 + rng.randrange(600), ticker="A") for k in range(60)]
+    rows += [trade(100 + k, s * 600, ticker=None) for k, s in enumerate([0, 7, 8, 20])]
+    rows += [trade(200, 4000, ticker="ONE"), trade(201, 4100, ticker="ONE")]
+    trades = make(rows)
+    found = tick_candles(trades, "10 minutes")
+    for chunk in ("1 hour", "1 day"):
+        spans = gap_spans(found, "10 minutes", chunk)
+        expanded = spans.select(
+            "ticker", F.explode(F.sequence("gap_start", "gap_end", F.expr("INTERVAL 10 MINUTES"))).alias("b")
+        )
+        filled = fill_gaps(found, "10 minutes", ticker_spans(trades, "10 minutes"))
+        empty = filled.where(F.col("trades").isNull()).select("ticker", "bucket_start")
+        def rows(df):
+            return sorted((r[0], r[1]) for r in df.where(F.col("ticker").isNotNull()).collect())
+
+        assert rows(expanded) == rows(empty)
+        sizes = {(r["ticker"], r["buckets"]) for r in spans.collect()}
+        assert ("A", 23) in sizes and not [s for s in sizes if s[0] == "ONE"]
+        assert sorted(s for t, s in sizes if t is None) == [6, 11]

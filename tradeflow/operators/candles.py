@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bucket_start, exact_total, interval, interval_seconds, price_cents
@@ -150,3 +151,41 @@ def fill_gaps(found: DataFrame, width: str, spans: DataFrame) -> DataFrame:
         "ticker", "bucket_start"
     )
     return buckets.join(found, ["ticker", "bucket_start"], "left")
+
+
+def gap_spans(found: DataFrame, width: str, chunk: str = "1 day") -> DataFrame:
+    """Runs of buckets without trades between the first and last bucket of each ticker.
+
+    One row per run: ``gap_start`` and ``gap_end`` are its first and last missing bucket,
+    ``buckets`` their number, so the output grows with the gaps and not with the calendar.
+    ``found`` has a row per (ticker, bucket_start) with trades. Each bucket meets the next
+    by ``lead`` within its ticker and ``chunk`` of time, so no task holds a whole hot
+    ticker; the last bucket of a chunk meets the first of the next chunk that has any,
+    from one summary row per chunk. Expanded, the runs are the buckets with null measures
+    of ``fill_gaps``.
+    """
+    seconds = interval_seconds(width)
+    step = interval(width)
+    buckets = found.select("ticker", "bucket_start").withColumn("_chunk", bucket_start("bucket_start", chunk))
+    inner = buckets.withColumn(
+        "_next", F.lead("bucket_start").over(Window.partitionBy("ticker", "_chunk").orderBy("bucket_start"))
+    )
+    within = inner.where(F.col("_next").isNotNull()).select("ticker", "bucket_start", "_next")
+    chunks = buckets.groupBy("ticker", "_chunk").agg(
+        F.min("bucket_start").alias("_first"), F.max("bucket_start").alias("_last")
+    )
+    carried = chunks.withColumn("_next", F.lead("_first").over(Window.partitionBy("ticker").orderBy("_chunk")))
+    across = carried.where(F.col("_next").isNotNull()).select(
+        "ticker", F.col("_last").alias("bucket_start"), "_next"
+    )
+    missing = F.timestamp_diff("SECOND", F.col("bucket_start"), F.col("_next")) / seconds - 1
+    return (
+        within.unionByName(across)
+        .where(missing >= 1)
+        .select(
+            "ticker",
+            (F.col("bucket_start") + step).alias("gap_start"),
+            (F.col("_next") - step).alias("gap_end"),
+            missing.cast("long").alias("buckets"),
+        )
+    )

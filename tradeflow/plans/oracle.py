@@ -376,6 +376,20 @@ def oracle_sql() -> dict[str, str]:
             """,
             found=_tick_candles(600),
         ),
+        "candle_gap_spans": _trades(
+            """
+            SELECT ticker, bucket_start + INTERVAL 10 MINUTE AS gap_start,
+                   next - INTERVAL 10 MINUTE AS gap_end,
+                   CAST((epoch(next) - epoch(bucket_start)) / 600 - 1 AS BIGINT) AS buckets
+            FROM (
+                SELECT ticker, bucket_start,
+                       lead(bucket_start) OVER (PARTITION BY ticker ORDER BY bucket_start) AS next
+                FROM found
+            )
+            WHERE next > bucket_start + INTERVAL 10 MINUTE
+            """,
+            found=_tick_candles(600),
+        ),
         "anomaly_zscore": _zscore(),
         "anomaly_zscore_split": _zscore(),
         "anomaly_null_ticker": _zscore(

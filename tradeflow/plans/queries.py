@@ -296,6 +296,12 @@ def candle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candles.fill_gaps(found, "10 minutes", candles.ticker_spans(trades, "10 minutes"))
 
 
+def candle_gap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of 10-minute buckets without trades, one row per run."""
+    found = candles.tick_candles(event_trades(spark, sf_dir), "10 minutes")
+    return candles.gap_spans(found, "10 minutes")
+
+
 # Unusual trades.
 
 
@@ -601,6 +607,7 @@ def queries() -> dict[str, Query]:
         "candles_rollup": candles_rollup,
         "stream_rollup": stream_rollup,
         "candle_gaps": candle_gaps,
+        "candle_gap_spans": candle_gap_spans,
         "anomaly_zscore": anomaly_zscore,
         "anomaly_zscore_split": anomaly_zscore_split,
         "anomaly_null_ticker": anomaly_null_ticker,
