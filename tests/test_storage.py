@@ -45,3 +45,30 @@ def test_exported_records(make):
     record = json.loads(export_json(df).first()["record"])
     assert record["price"] == "12.30" and record["volume"] == 1
     assert record["event_time"] == "2024-01-01T00:00:01.500000+00:00"
+
+
+def test_days_are_counted_from_footers_and_give_the_newest_rows(spark, make, tmp_path):
+    from datetime import date
+
+    from tradeflow.operators import history
+    from tradeflow.sources.storage import counted_days, day_counts, footer_reader
+
+    path = str(tmp_path / "d")
+    rows = make([trade(i, 3600 * 5 * i + (i % 7), 1.25) for i in range(60)] + [trade(99, 3600 * 5 * 59)])
+    append_trades(rows, path)
+    append_trades(make([trade(100 + i, 3600 * 5 * 59) for i in range(3)]), path)  # a second file a day
+    stored = read_trades(spark, path)
+    plain = {r["event_date"]: r["rows"] for r in stored.groupBy("event_date").count().withColumnRenamed("count", "rows").collect()}
+    days = day_counts(spark, path)
+    assert dict(days) == plain and [d for d, _ in days] == sorted(plain, reverse=True)
+    assert dict(day_counts(spark, path, since=date(2024, 1, 10))) == {d: n for d, n in plain.items() if d >= date(2024, 1, 10)}
+    with footer_reader(spark):
+        plan = counted_days(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "PushedGroupBy: [event_date]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    order = [F.desc("event_time"), F.desc("event_id")]
+    for limit in (1, 5, 20, 100):
+        want = [r["event_id"] for r in stored.orderBy(*order).limit(limit).collect()]
+        got = [r["event_id"] for r in history.newest(stored, limit, days=days).collect()]
+        assert got == want
+    assert day_counts(spark, path, since=date(2030, 1, 1)) == []

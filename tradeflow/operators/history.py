@@ -7,7 +7,7 @@ import operator
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -132,7 +132,11 @@ def matching(
 
 
 def newest(
-    trades: DataFrame, limit: int, lanes: int | None = None, by_day: bool = False
+    trades: DataFrame,
+    limit: int,
+    lanes: int | None = None,
+    by_day: bool = False,
+    days: list[tuple[date, int]] | None = None,
 ) -> DataFrame:
     """The ``limit`` newest rows, ties by id; rows without a time come last.
 
@@ -140,9 +144,14 @@ def newest(
     many as there are shuffle partitions if not given), and one task merges those.
     ``by_day`` first counts the rows of each day of the stored table, so that only
     the newest days are read in full. The plan does not depend on the table's size.
+    ``days`` gives those counts, newest first, where they are known without reading rows
+    (``sources.day_counts`` takes them from file footers); they must count every row of
+    ``trades`` per day, so they suit a stored table with no filter beyond its days.
     """
     order = [F.desc("event_time"), F.desc("event_id")]
-    if by_day:
+    if days is not None:
+        trades = _from_day(trades, days, limit)
+    elif by_day:
         trades = _newest_days(trades, limit)
     lanes = lanes or int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if lanes > 1:
@@ -163,11 +172,17 @@ def _newest_days(trades: DataFrame, limit: int) -> DataFrame:
     without a day are the oldest, so where they are needed nothing is left out.
     """
     days = trades.groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"))
+    counted = [(r["event_date"], r["rows"]) for r in days.orderBy(F.desc("event_date")).collect()]
+    return _from_day(trades, counted, limit)
+
+
+def _from_day(trades: DataFrame, days: list[tuple[date | None, int]], limit: int) -> DataFrame:
+    """The rows of the newest days whose counts, newest first, reach ``limit``."""
     held = 0
-    for day in days.orderBy(F.desc("event_date")).collect():
-        held += day["rows"]
-        if held >= limit and day["event_date"] is not None:
-            return trades.where(F.col("event_date") >= F.lit(day["event_date"]))
+    for day, rows in days:
+        held += rows
+        if held >= limit and day is not None:
+            return trades.where(F.col("event_date") >= F.lit(day))
     return trades
 
 

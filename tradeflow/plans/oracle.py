@@ -272,6 +272,11 @@ def oracle_sql() -> dict[str, str]:
             " AND event_time < TIMESTAMP '2024-01-12 18:00:00' AND market_code = 'AMEX'"
             " ORDER BY event_time DESC, trades.event_id DESC LIMIT 150"
         ),
+        "history_newest_stored": _trades(
+            " SELECT event_time, CAST(event_id AS VARCHAR) AS event_id, ticker, price, volume,"
+            " trade_type, trade_id, market_code, currency_code FROM trades"
+            " ORDER BY event_time DESC, trades.event_id DESC LIMIT 150"
+        ),
         "append_retry": _trades(
             " SELECT event_id % 2 AS batch_id, CAST(event_time AS DATE) AS event_date,"
             " count(*) AS trades, CAST(sum(volume) AS BIGINT) AS volume FROM trades GROUP BY 1, 2"

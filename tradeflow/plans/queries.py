@@ -15,6 +15,7 @@ from ..sources import (
     append_trades,
     append_with_retry,
     customers_as_subscriptions,
+    day_counts,
     events_as_trades,
     export_json,
     lineitem_as_trades,
@@ -144,6 +145,15 @@ def history_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unzoned(newest.withColumn("price", F.col("price").cast("double")), "event_time")
 
 
+def history_newest_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 150 newest trades of the stored table; its days counted from file footers."""
+    path = work_dir(spark, "trades_newest")
+    append_trades(event_trades(spark, sf_dir, zoned=True), path)
+    days = day_counts(spark, path)
+    newest = history.newest(read_trades(spark, path), 150, days=days).drop("event_date")
+    return _unzoned(newest.withColumn("price", F.col("price").cast("double")), "event_time")
+
+
 def append_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, one of them sent twice; nothing is doubled."""
     trades = event_trades(spark, sf_dir, zoned=True)
@@ -585,6 +595,7 @@ def queries() -> dict[str, Query]:
         "history_summary": history_summary,
         "preview": preview,
         "history_stored": history_stored,
+        "history_newest_stored": history_newest_stored,
         "append_retry": append_retry,
         "export_json": export,
         "quality_gate": quality_gate,

@@ -13,6 +13,7 @@ from .storage import (
     append_with_retry,
     compact_batches,
     read_batches,
+    day_counts,
     read_trades,
     read_trades_jdbc,
 )
@@ -32,6 +33,7 @@ __all__ = [
     "parse_changes",
     "read_batches",
     "read_changes",
+    "day_counts",
     "read_trades",
     "read_trades_jdbc",
     "split_changes",

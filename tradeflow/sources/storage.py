@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import logging
-from datetime import datetime
+from collections.abc import Iterator
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,47 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED).parquet(path)
 
 
+@contextlib.contextmanager
+def footer_reader(spark: SparkSession) -> Iterator[None]:
+    """Parquet's own reader with aggregate push-down, for the time of the block."""
+    wanted = {
+        "spark.sql.parquet.aggregatePushdown": "true",
+        "spark.sql.sources.useV1SourceList": ",".join(
+            name
+            for name in spark.conf.get("spark.sql.sources.useV1SourceList").split(",")
+            if name.strip().lower() != "parquet"
+        ),
+    }
+    saved = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in saved.items():
+            spark.conf.set(key, value)
+
+
+def counted_days(spark: SparkSession, path: str, since: date | None = None) -> DataFrame:
+    """Rows per day of the stored table; inside ``footer_reader`` only footers are read."""
+    days = spark.read.schema(STORED).parquet(path)
+    if since is not None:
+        days = days.where(F.col("event_date") >= F.lit(since))
+    return days.groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def day_counts(spark: SparkSession, path: str, since: date | None = None) -> list[tuple[date, int]]:
+    """Rows of each day of the stored table (from ``since`` on), newest first.
+
+    Parquet's own reader answers a count grouped by the day folder from the row counts in
+    file footers (``PushedAggregation: [COUNT(*)]``), so no column of any row is read. The
+    settings it needs hold only while the counts are collected: one row per day.
+    """
+    with footer_reader(spark):
+        counted = counted_days(spark, path, since).orderBy(F.desc("event_date"))
+        return [(r["event_date"], r["rows"]) for r in counted.collect()]
+
+
 def read_trades_jdbc(
     spark: SparkSession,
     url: str,
