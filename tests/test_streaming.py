@@ -323,3 +323,22 @@ def test_window_anomalies_go_out_as_text(spark, make, feed_files, stream_of, tmp
     assert [(m["event_time"], m["score"]) for m in sent] == [("2024-01-01T00:00:00+00:00", 30.0)]
     with pytest.raises(ValueError):
         sinks.start_messages(text, f"{tmp_path}/cp")
+
+
+def test_stored_dedup_catches_copies_after_any_delay_and_keeps_late_originals(spark, make, tmp_path):
+    from tradeflow.streaming import stored_dedup
+
+    path = str(tmp_path / "kept")
+
+    def run(rows, batch_id):
+        kept = stored_dedup.new_trades(make(rows), path, batch_id)
+        kept.write.mode("overwrite").partitionBy("event_date").parquet(state.batch_path(path, batch_id))
+
+    first = [trade(k, 86400 * (k % 3) + k) for k in range(30)] + [trade(1, 86400 + 1), trade(40, 0, event_time=None)]
+    run(first, 0)
+    run([trade(k, 86400 * (k % 3) + k) for k in range(0, 30, 2)] + [trade(50, 5), trade(40, 0, event_time=None)], 1)
+    run([trade(k, 86400 * (k % 3) + k) for k in range(0, 30, 2)] + [trade(50, 5), trade(40, 0, event_time=None)], 1)  # retried
+    run([trade(k, 86400 * (k % 3) + k) for k in range(1, 30, 5)] + [trade(60, 86400 * 40)], 2)
+    stored = stored_dedup.read_stored(spark, TRADE_RAW, path)
+    ids = [r["event_id"][:8] for r in stored.collect()]
+    assert sorted(ids) == sorted({f"{k:08x}" for k in [*range(30), 40, 50, 60]})

@@ -440,6 +440,7 @@ def oracle_sql() -> dict[str, str]:
             candles=_tick_candles(60),
         ),
         "stream_dedup": _trades(f" SELECT {everything} FROM trades"),
+        "stream_dedup_stored": _trades(f" SELECT {everything} FROM trades"),
         "stream_subscriptions": _subs(
             f"""
             SELECT requests.ticker, tick,

@@ -30,7 +30,7 @@ from ..sources import (
 from ..streaming import anomaly as stream_rules
 from ..streaming import price_state
 from ..streaming import changes as stream_changes
-from ..streaming import state, subscriptions, windows
+from ..streaming import state, stored_dedup, subscriptions, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -468,6 +468,14 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unzoned(spark.read.schema(stream.schema).parquet(f"{place}/out"), "event_time")
 
 
+def stream_dedup_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trade comes twice, the copy a delivery later, far behind any watermark."""
+    place = work_dir(spark, "dedup_stored")
+    trades = trade_stream(spark, sf_dir, "twice")
+    state.finish(stored_dedup.start_stored_dedup(trades, f"{place}/out", f"{place}/checkpoint"))
+    return _unzoned(stored_dedup.read_stored(spark, trades.schema, f"{place}/out"), "event_time")
+
+
 def stream_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_dir(spark, "ticks")
     query = subscriptions.start_ticks(
@@ -637,6 +645,7 @@ def queries() -> dict[str, Query]:
         "copies_removed": copies_removed,
         "stream_candles": stream_candles,
         "stream_dedup": stream_dedup,
+        "stream_dedup_stored": stream_dedup_stored,
         "stream_subscriptions": stream_subscriptions,
         "stream_latest": stream_latest,
         "stream_sampler": stream_sampler,
