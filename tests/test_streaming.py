@@ -342,3 +342,26 @@ def test_stored_dedup_catches_copies_after_any_delay_and_keeps_late_originals(sp
     stored = stored_dedup.read_stored(spark, TRADE_RAW, path)
     ids = [r["event_id"][:8] for r in stored.collect()]
     assert sorted(ids) == sorted({f"{k:08x}" for k in [*range(30), 40, 50, 60]})
+
+
+def test_health_of_one_tagged_stream_equals_the_batch_health_on_closed_windows(spark, make, feed_files, stream_of, tmp_path):
+    from tradeflow.operators import health
+
+    rows = _rows(500, 3 * 3600, seed=9)
+    for n, part in enumerate(_spread(rows, 5)):
+        folder = feed_files(n, part)
+    price = F.col("price")
+    stream = windows.health_stream(stream_of(folder), "10 minutes", "5 minutes", price <= 60, price > 60)
+    state.finish(state.start(stream, f"{tmp_path}/out", f"{tmp_path}/cp"))
+    closed = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+    live = health.health(
+        closed.where("rows > 0").select("bucket_start", "rows", "newest"),
+        "10 minutes",
+        rejected_counts=closed.where("rejected > 0"),
+    )
+    trades = make(rows)
+    names = ["bucket_start", "rows", "newest", "rejected", "status"]
+    whole = health.health(health.arrivals(trades.where(price <= 60), "10 minutes"), "10 minutes",
+                          rejected=trades.where(price > 60))
+    ends = [r["bucket_start"] for r in closed.collect()]
+    assert ends and _set(live.select(names)) == _set(whole.where(F.col("bucket_start") <= max(ends)).select(names))

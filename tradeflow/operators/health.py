@@ -33,6 +33,7 @@ def health(
     slow: str = "1 minute",
     start: datetime | None = None,
     as_of: datetime | None = None,
+    rejected_counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row for every interval, also the empty ones, with a status.
 
@@ -41,12 +42,16 @@ def health(
     silence is longer than ``slow``. Counts that are not asked for are null. The
     intervals reach from the first to the last event of any kind, and to those of
     ``start`` and ``as_of`` where given, so that silence up to now can be seen.
+    ``rejected_counts`` (``bucket_start``, ``rejected``) may stand for ``rejected``
+    where a stream has counted them already.
     """
     end = F.col("bucket_start") + interval(width)
     counts = {
         name: None if events is None else _per_bucket(events, width, name)
         for name, events in (("anomalies", anomalies), ("rejected", rejected))
     }
+    if rejected_counts is not None:
+        counts["rejected"] = rejected_counts.select("bucket_start", "rejected")
     seen = arrived.select("bucket_start")
     for found in counts.values():
         if found is not None:

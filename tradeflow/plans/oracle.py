@@ -441,6 +441,27 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_dedup": _trades(f" SELECT {everything} FROM trades"),
         "stream_dedup_stored": _trades(f" SELECT {everything} FROM trades"),
+        "stream_health_live": _trades(
+            f"""
+            SELECT b.bucket_start, coalesce(n, 0) AS "rows", newest,
+                   (epoch_us(b.bucket_start + INTERVAL 10 MINUTE) - epoch_us(newest)) / 1000000.0
+                       AS lag_seconds, coalesce(refused, 0) AS rejected,
+                   CASE WHEN newest IS NULL AND refused > 0 THEN 'failed'
+                        WHEN newest IS NULL THEN 'none'
+                        WHEN newest < b.bucket_start + INTERVAL 5 MINUTE THEN 'delayed'
+                        ELSE 'ok' END AS status
+            FROM (
+                SELECT unnest(generate_series(min(bucket_start), max(bucket_start), INTERVAL 10 MINUTE))
+                    AS bucket_start FROM windows WHERE n > 0 OR refused > 0
+            ) AS b
+            LEFT JOIN windows ON windows.bucket_start = b.bucket_start
+            """,
+            windows=f"SELECT * FROM (SELECT {_bucket('event_time', 600)} AS bucket_start,"
+            " count(*) FILTER (WHERE price <= 100) AS n,"
+            " max(event_time) FILTER (WHERE price <= 100) AS newest,"
+            " count(*) FILTER (WHERE price > 100) AS refused FROM trades GROUP BY bucket_start)"
+            " WHERE " + _closed("bucket_start + INTERVAL 10 MINUTE"),
+        ),
         "stream_subscriptions": _subs(
             f"""
             SELECT requests.ticker, tick,

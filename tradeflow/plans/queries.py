@@ -594,6 +594,19 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unzoned(rows, "bucket_start", "newest")
 
 
+def stream_health_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of a stream whose trades above 100 are rejected, from one tagged aggregate."""
+    place = work_dir(spark, "health_live")
+    price = F.col("price")
+    stream = windows.health_stream(trade_stream(spark, sf_dir), "10 minutes", DELAY, price <= 100, price > 100)
+    state.finish(state.start(stream, f"{place}/out", f"{place}/checkpoint"))
+    closed = spark.read.schema(stream.schema).parquet(f"{place}/out")
+    arrived = closed.where(F.col("rows") > 0).select("bucket_start", "rows", "newest")
+    counted = closed.where(F.col("rejected") > 0).select("bucket_start", "rejected")
+    rows = health.health(arrived, "10 minutes", slow="5 minutes", rejected_counts=counted)
+    return _unzoned(rows.drop("anomalies"), "bucket_start", "newest")
+
+
 def queries() -> dict[str, Query]:
     return {
         "history_filter": history_filter,
@@ -646,6 +659,7 @@ def queries() -> dict[str, Query]:
         "stream_candles": stream_candles,
         "stream_dedup": stream_dedup,
         "stream_dedup_stored": stream_dedup_stored,
+        "stream_health_live": stream_health_live,
         "stream_subscriptions": stream_subscriptions,
         "stream_latest": stream_latest,
         "stream_sampler": stream_sampler,

@@ -61,6 +61,22 @@ def arrival_stream(trades: DataFrame, width: str, delay: str | None) -> DataFram
     return windowed(trades, width, delay, measures)
 
 
+def health_stream(
+    trades: DataFrame, width: str, delay: str | None, accepted: Column, rejected: Column
+) -> DataFrame:
+    """Accepted trades, newest accepted time and rejected trades per window.
+
+    One tagged stream, one watermark and one state: each trade is counted by the
+    condition it meets, instead of aggregating accepted and rejected trades apart.
+    """
+    measures = [
+        F.count(F.when(accepted, 1)).alias("rows"),
+        F.max(F.when(accepted, F.col("event_time"))).alias("newest"),
+        F.count(F.when(rejected, 1)).alias("rejected"),
+    ]
+    return windowed(trades, width, delay, measures)
+
+
 def bucket_rule_stream(
     trades: DataFrame,
     width: str,
