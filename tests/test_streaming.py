@@ -365,3 +365,20 @@ def test_health_of_one_tagged_stream_equals_the_batch_health_on_closed_windows(s
                           rejected=trades.where(price > 60))
     ends = [r["bucket_start"] for r in closed.collect()]
     assert ends and _set(live.select(names)) == _set(whole.where(F.col("bucket_start") <= max(ends)).select(names))
+
+
+def test_sampler_on_a_clock_covers_an_uneven_span_exactly_once(spark, make, feed_files, stream_of, tmp_path):
+    folder = feed_files(0, [trade(1, 1, 12.5)])
+    prices = f"{tmp_path}/prices"
+    state.finish(subscriptions.start_prices(stream_of(folder), prices, f"{tmp_path}/cp1"))
+    schema = "sub_id string, ticker string, tick int, updated_at timestamp"
+    rows = [("a", "AAPL", 1, START), ("b", "AAPL", 7, START), ("c", "ZZZ", 3, START)]
+    subs = spark.createDataFrame(rows, schema)
+    out = f"{tmp_path}/out"
+    subscriptions.sample_span(spark, prices, lambda s: subs, out, f"{tmp_path}/cp2", 1000, 50, per_batch=20)
+    sent = sorted((r["sub_id"], int(r["due"].timestamp())) for r in spark.read.parquet(out).collect())
+    whole = subscriptions.due_messages(subs, subscriptions.read_prices(spark, prices), 1000, 1049)
+    assert sent == sorted((r["sub_id"], int(r["due"].timestamp())) for r in whole.collect())
+    assert len(sent) == 50 + 7 + 16 and state.finished_batches(spark, out) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        subscriptions.sample_span(spark, prices, lambda s: subs, out, f"{tmp_path}/cp3", 0, 0)

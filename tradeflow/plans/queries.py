@@ -499,10 +499,19 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages due to all subscribers in one minute after the last trade."""
+    """The messages due to all subscribers in one minute after the last trade.
+
+    Prices come from the price state a trade stream keeps; the sampler runs on a clock
+    that starts at that minute, 20 seconds a micro-batch.
+    """
+    place = work_dir(spark, "sampler")
+    state.finish(subscriptions.start_prices(trade_stream(spark, sf_dir), f"{place}/prices", f"{place}/prices_cp"))
     start = (AS_OF - datetime(1970, 1, 1)) // timedelta(seconds=1)
-    prices = latest.latest(event_trades(spark, sf_dir))
-    sent = subscriptions.due_messages(_subscriptions(spark, sf_dir), prices, start, start + 59)
+    subscriptions.sample_span(
+        spark, f"{place}/prices", lambda session: _subscriptions(session, sf_dir),
+        f"{place}/out", f"{place}/checkpoint", start, 60, per_batch=20,
+    )
+    sent = spark.read.parquet(f"{place}/out").drop("batch_id")
     return _unzoned(sent, "due").select(
         "sub_id", "due", "type", "ticker", "data.high", "data.low", "current_tick"
     )

@@ -246,3 +246,57 @@ def start_sampler(
         state.write_batch(sent, out, batch_id)
 
     return state.start_batches(clock, step, checkpoint, every)
+
+
+def sample_span(
+    spark: SparkSession,
+    prices: str,
+    subscriptions: Reader,
+    out: str,
+    checkpoint: str,
+    first: int,
+    seconds: int,
+    per_batch: int = 60,
+) -> StreamingQuery:
+    """``start_sampler`` on a clock that does not read the wall clock: seconds ``first`` to
+    ``first + seconds - 1``, ``per_batch`` seconds a micro-batch, then the query stops.
+
+    The ``rate-micro-batch`` source gives micro-batch k the time first + k * per_batch,
+    whenever it runs, so a batch run again after a failure sends the same messages; each
+    batch reads the newest finished version of the price state at ``prices``.
+    """
+    if seconds <= 0 or per_batch <= 0:
+        raise ValueError("a span and a batch need at least one second")
+    end = first + seconds
+    clock = (
+        spark.readStream.format("rate-micro-batch")
+        .option("rowsPerBatch", 1)
+        .option("startTimestamp", first * 1000)
+        .option("advanceMillisPerBatch", per_batch * 1000)
+        .load()
+    )
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        tick = batch.agg(F.min(F.unix_seconds("timestamp")).alias("tick")).first()["tick"]
+        if tick is None or tick >= end:
+            return
+        session = batch.sparkSession
+        sent = due_messages(
+            subscriptions(session), read_prices(session, prices), tick, min(tick + per_batch, end) - 1
+        )
+        state.write_batch(sent, out, batch_id)
+
+    query = (
+        clock.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime="0 seconds")
+        .start()
+    )
+    batches = -(-seconds // per_batch)
+    while query.isActive and len([b for b in state.finished_batches(spark, out) if b < batches]) < batches:
+        query.awaitTermination(0.2)
+    if query.isActive:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return query
