@@ -123,13 +123,15 @@ def secrets(docs):
 
 def nearest(rows, k=5, every=50):
     """[(query_id, rank, vec_id, score)]"""
-    good = {}
-    for i, v in rows:
-        if v is not None and all(x is not None and math.isfinite(x) for x in v):
-            good[i] = [math.floor(256 * x) for x in v]
+    good = [
+        (i, [math.floor(256 * x) for x in v])
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
     out = []
-    for q, v in good.items():
-        if q % every == 0:
-            scored = [(-sum(a * b for a, b in zip(v, w)), i) for i, w in good.items() if i != q]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
+    for q in sorted({i for i, _ in good if i % every == 0}):
+        scored = [
+            (-sum(a * b for a, b in zip(v, w)), i) for p, v in good if p == q for i, w in good if i != q
+        ]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
     return sorted(out)

@@ -201,6 +201,10 @@ def test_top_k(spark):
         assert sorted(map(tuple, got)) == brute.nearest(rows)
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>")
     assert topk.top_k(one).collect() == []
+    repeated = [(0, [0.5, 0.5]), (1, [0.1, 0.1]), (1, [0.9, 0.9]), (2, [0.3, 0.0]), (50, [0.2, 0.2]), (50, [0.4, 0.1])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(repeated, "vec_id long, embedding array<double>")).collect()))
+    assert got == brute.nearest(repeated) and got[0] == (0, 1, 1, 58880)
+    assert [r[2] for r in got if r[0] == 50] == [1, 1, 0, 0, 2]
 
 
 def test_page_text(spark):

@@ -22,7 +22,8 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256
     """(vec_id, v): floor(scale * x) of every component, for vectors that take part.
 
     Null ids, null vectors and those with null or non-finite components do not. Rows
-    with the same id are one: the smallest vector counts. A shorter vector counts as
+    with the same id each take part as rows of their own: as candidates each is scored,
+    and a query's rows share its id, so it meets none of them. A shorter vector counts as
     if zeros followed.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
@@ -30,9 +31,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256
         F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     )
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(good)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(
-        F.min("v").alias("v")
-    )
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
 class ImpactIndex:
