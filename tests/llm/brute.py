@@ -21,7 +21,7 @@ def leaks(docs, items, size=10):
         words = ALNUM.findall((text or "").translate(LOWER))
         n = min(size, len(words))
         for k in range(len(words) - n + 1 if n else 0):
-            windows[tuple(words[k : k + n])].add(str(item))
+            windows[tuple(words[k : k + n])].add(None if item is None else str(item))
     sizes = {len(w) for w in windows}
     out = {}
     for doc, text in docs:
@@ -29,7 +29,7 @@ def leaks(docs, items, size=10):
         for n in sizes:
             for k in range(len(words) - n + 1):
                 if (key := tuple(words[k : k + n])) in windows:
-                    found |= windows[key]
+                    found |= windows[key] - {None}
                     hit |= set(range(k, k + n))
         out[doc] = (len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
     return out

@@ -33,7 +33,7 @@ WITH doc_words AS (
     SELECT doc_id, count(DISTINCT p) AS n_hit
     FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM occurring) GROUP BY doc_id
 ), items AS (
-    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+    SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
     FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occurring) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
