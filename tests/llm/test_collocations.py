@@ -5,6 +5,8 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -86,3 +88,30 @@ def spark_lit(value):
     from pyspark.sql import functions as F
 
     return F.lit(value)
+
+
+def test_states_of_a_batch_are_held_a_slice_at_a_time():
+    import tracemalloc
+
+    words, labels = 2_000_000, 50
+    trie = collocations.DoubleArray(labels)
+    trie.check[1 : labels + 1] = 0
+    rng = np.random.default_rng(5)
+    flat = np.where(rng.random(words) < 0.9, rng.integers(10, 51, words), rng.integers(1, 10, words))
+    known = np.where(flat > 9, -1, flat)  # few pairs, so that the kept keys are small
+    column = pa.ListArray.from_arrays(np.arange(0, words + 1, 500, dtype=np.int32), pa.array(known))
+    tracemalloc.start()
+    keys = collocations.extensions(trie.base, trie.check, column, 2, labels + 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first, second = known[:-1], known[1:]
+    pairs = (first > 0) & (second > 0) & (np.arange(1, words) % 500 != 0)
+    assert sorted(keys) == sorted((first * (labels + 1) + second)[pairs])
+    assert peak < 8 * words  # one array of all words' states would pass this
+
+
+def test_words_are_handed_on_before_a_batch_ends(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", f"a w{k} w{k}") for k in range(40)], "lang string, text string")
+    monkeypatch.setattr(collocations, "HELD_WORDS", 7)
+    counts = {bytes(r["word"]).decode(): r["f"] for r in collocations.word_counts(docs).collect()}
+    assert counts == {"a": 40, **{f"w{k}": 2 for k in range(40)}}

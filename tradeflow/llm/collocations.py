@@ -44,6 +44,9 @@ MAX_WORDS = 5
 TOP = 2000
 #: The largest trie that is sent to every task.
 MAX_TRIE_BYTES = 1 << 30
+#: Words whose states a task holds at once, and counted words it holds before it hands them on.
+SLICE_WORDS = 1 << 18
+HELD_WORDS = 1 << 17
 
 _CUTS = re.compile(rb"[.,;:!?\x0a-\x0d]")
 _LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -65,7 +68,17 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word binary, f) of all words; each batch adds up its words before Spark does."""
+    """(lang, word binary, f) of all words; tasks add up HELD_WORDS different words before Spark does."""
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in seen], pa.string()),
+                pa.array([k[1] for k in seen], pa.binary()),
+                pa.array(list(seen.values()), pa.int64()),
+            ],
+            ["lang", "word", "f"],
+        )
 
     def count(batches):
         for batch in batches:
@@ -73,14 +86,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for lang, text in zip(_langs(batch), _texts(batch), strict=True):
                 for words in pieces(text):
                     seen.update((lang, w) for w in words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in seen], pa.string()),
-                    pa.array([k[1] for k in seen], pa.binary()),
-                    pa.array(list(seen.values()), pa.int64()),
-                ],
-                ["lang", "word", "f"],
-            )
+                if len(seen) >= HELD_WORDS:
+                    yield counted(seen)
+                    seen = Counter()
+            yield counted(seen)
 
     return docs.mapInArrow(count, "lang string, word binary, f bigint").groupBy("lang", "word").agg(
         F.sum("f").alias("f")
@@ -149,6 +158,33 @@ def flat_ids(column: pa.ListArray) -> np.ndarray:
     return words
 
 
+def slices(column: pa.ListArray):
+    """The id arrays in stretches of up to SLICE_WORDS ids, one array at least."""
+    offsets, at = column.offsets.to_numpy(), 0
+    while at < len(column):
+        end = int(np.searchsorted(offsets, offsets[at] + SLICE_WORDS, "right")) - 1
+        end = max(at + 1, end)
+        yield column.slice(at, end - at)
+        at = end
+
+
+def extensions(base: np.ndarray, check: np.ndarray, column: pa.ListArray, level: int, width: int) -> np.ndarray:
+    """node * width + word of each frequent phrase of level-1 words and the word after it
+    that ends another one. Only these outlast a slice of the batch."""
+    keys = [np.empty(0, np.int64)]
+    for part in slices(column):
+        padded = np.concatenate([flat_ids(part), [-1]])
+        states = np.zeros(len(padded), np.int64)
+        for j in range(level - 1):
+            states = step(base, check, states, np.concatenate([padded[j:], np.full(j, -1)]))
+        safe = states >= 0
+        safe[:-1] &= states[1:] >= 0
+        safe[-1] = False
+        at = np.flatnonzero(safe)
+        keys.append(states[at] * width + padded[at + level - 1])
+    return np.concatenate(keys)
+
+
 def extension_counts(ids: DataFrame, trie, level: int, labels: int) -> DataFrame:
     """(node, word, c): how often a frequent phrase of level-1 words is followed by a word
     that ends another one. A pair is counted as the one number node * (labels + 1) + word."""
@@ -157,21 +193,12 @@ def extension_counts(ids: DataFrame, trie, level: int, labels: int) -> DataFrame
     def count(batches):
         base, check = trie.value
         for batch in batches:
-            padded = np.concatenate([flat_ids(batch.column("ids")), [-1]])
-            states = np.zeros(len(padded), np.int64)
-            for j in range(level - 1):
-                states = step(base, check, states, np.concatenate([padded[j:], np.full(j, -1)]))
-            safe = states >= 0
-            safe[:-1] &= states[1:] >= 0
-            safe[-1] = False
-            at = np.flatnonzero(safe)
-            if not len(at):
-                continue
-            keys, counts = np.unique(states[at] * width + padded[at + level - 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys // width), pa.array(keys % width), pa.array(counts.astype(np.int64))],
-                ["node", "word", "c"],
-            )
+            keys, counts = np.unique(extensions(base, check, batch.column("ids"), level, width), return_counts=True)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys // width), pa.array(keys % width), pa.array(counts.astype(np.int64))],
+                    ["node", "word", "c"],
+                )
 
     return ids.mapInArrow(count, "node bigint, word bigint, c bigint").groupBy("node", "word").agg(
         F.sum("c").alias("c")
