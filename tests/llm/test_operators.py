@@ -176,6 +176,29 @@ def test_all_capacities_hold(measure):
         assert sum(lengths) <= 100 and len(lengths) <= 4 and sum(x * x for x in lengths) <= 3000
 
 
+@pytest.mark.parametrize("measure", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(100, 4, 3000), (2048, 2048, 2048 * 2048)])
+def test_each_piece_goes_to_the_best_of_all_open_sequences(measure, limits):
+    capacity = packing.Capacity(*limits, measure=measure)
+    fit, left = packing.BestFit(capacity), {}
+    random.seed(3)
+    most = capacity.tokens // 2
+    lengths = sorted((random.randint(most // 3, most) for _ in range(300)), reverse=True)
+    for length in [*lengths, *(random.randint(1, most) for _ in range(500))]:
+        values = {
+            s: fit._better(*state, length) for s, state in left.items() if state[0] >= length and state[2] >= length * length
+        }
+        sequence, offset = fit.place(length)
+        assert (sequence in left) == bool(values)
+        tokens, documents, attention = left.pop(sequence, limits)
+        assert offset == limits[0] - tokens
+        if values:
+            assert values[sequence] == pytest.approx(min(values.values()), rel=1e-12, abs=1e-15)
+        now = (tokens - length, documents - 1, attention - length * length)
+        if all(now):
+            left[sequence] = now
+
+
 def test_shards_fit_or_cannot_be_split(docs):
     random.seed(2)
     rows = [(i % 40, "x" * random.randint(0, 90)) for i in range(300)] + [(7, "y" * 500)] * 2 + [(None, None)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,20 +114,76 @@ class Capacity:
     attention: int = 2048 * 2048
     weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     measure: str = "norm"  # or "dot"
-    #: Feasible open sequences that are compared for a piece, fullest first.
-    looked_at: int = 16
 
 
 class BestFit:
-    """Open sequences of one task, by the tokens they have left."""
+    """Open sequences of one task; each piece goes to the best of all that can take it.
+
+    Sequences with equal tokens and documents left share a cell, ordered by the attention
+    they have left. Of those that can take a piece, the one with least attention left is a
+    cell's best by "norm", the one with most by "dot", so one value a cell is compared.
+    """
 
     def __init__(self, capacity: Capacity):
         self.capacity = capacity
-        self.open: list[list[int]] = [[] for _ in range(capacity.tokens + 1)]
-        self.levels = 0  # bit r: some open sequence has r tokens left
-        self.left: list[list[int]] = []  # documents and attention left, by sequence
-
-    def _better(self, tokens: int, documents: int, attention: int, length: int) -> float:
+        self.count = 0
+        self.cells: dict[tuple[int, int], int] = {}  # (tokens, documents) left: place in the arrays
+        self.held: list[list[tuple[int, int]]] = []  # (attention left, sequence), in order
+        self.spare: list[int] = []  # places without sequences
+        #: Tokens, documents and the best attention of each cell; no tokens where it is empty.
+        self.tokens, self.documents, self.attention = np.zeros((3, 64))
+
+    def _changed(self, k: int) -> None:
+        """The arrays follow the sequences of cell k."""
+        held = self.held[k]
+        if held:
+            self.attention[k] = held[0 if self.capacity.measure != "dot" else -1][0]
+        else:
+            del self.cells[int(self.tokens[k]), int(self.documents[k])]
+            self.tokens[k] = 0
+            self.spare.append(k)
+
+    def _add(self, tokens: int, documents: int, attention: int, sequence: int) -> None:
+        k = self.cells.get((tokens, documents))
+        if k is None:
+            if self.spare:
+                k = self.spare.pop()
+            else:
+                k = len(self.held)
+                self.held.append([])
+                if k == len(self.tokens):
+                    grown = (np.concatenate([a, np.zeros(k)]) for a in (self.tokens, self.documents, self.attention))
+                    self.tokens, self.documents, self.attention = grown
+            self.cells[tokens, documents] = k
+            self.tokens[k], self.documents[k] = tokens, documents
+        insort(self.held[k], (attention, sequence))
+        self._changed(k)
+
+    def _best(self, length: int) -> tuple[int, int] | None:
+        """Cell and place in it of the best open sequence that can take a piece."""
+        n, cost = len(self.held), length * length
+        places = np.flatnonzero(self.tokens[:n] >= length)
+        if not len(places):
+            return None
+        tokens, documents, attention = self.tokens[places], self.documents[places], self.attention[places]
+        # Where a cell's best attention is too little, no other in it is better than just enough.
+        values = self._better(tokens, documents, np.maximum(attention, cost), length)
+        while True:
+            k = int(np.argmin(values))
+            if np.isinf(values[k]):
+                return None
+            cell = int(places[k])
+            held = self.held[cell]
+            if attention[k] >= cost:
+                return cell, (bisect_left(held, (int(attention[k]),)))
+            at = bisect_left(held, (cost,))
+            if at == len(held):
+                values[k] = np.inf
+            else:
+                attention[k] = held[at][0]
+                values[k] = self._better(tokens[k], documents[k], attention[k], length)
+
+    def _better(self, tokens, documents, attention, length: int):
         """Lower is better: what stays free after the piece, or minus the alignment."""
         c, (wt, wd, wa) = self.capacity, self.capacity.weights
         if self.capacity.measure == "dot":
@@ -143,38 +200,19 @@ class BestFit:
 
     def place(self, length: int) -> tuple[int, int]:
         """The sequence for a piece, and its offset there."""
-        c, cost = self.capacity, length * length
-        best, chosen, seen = None, None, 0
-        above = self.levels >> length
-        base = length
-        while above and seen < c.looked_at:
-            step = (above & -above).bit_length() - 1
-            base, above = base + step, above >> step
-            for k, sequence in enumerate(reversed(self.open[base])):
-                documents, attention = self.left[sequence]
-                if attention >= cost:
-                    value = self._better(base, documents, attention, length)
-                    if best is None or value < best:
-                        best, chosen = value, (base, len(self.open[base]) - 1 - k)
-                    seen += 1
-                    if seen >= c.looked_at:
-                        break
-            base, above = base + 1, above >> 1
+        c, chosen = self.capacity, self._best(length)
         if chosen is None:
-            sequence, tokens = len(self.left), c.tokens
-            self.left.append([c.documents, c.attention])
+            sequence, tokens, documents, attention = self.count, c.tokens, c.documents, c.attention
+            self.count += 1
         else:
-            tokens, at = chosen
-            sequence = self.open[tokens].pop(at)
-            if not self.open[tokens]:
-                self.levels &= ~(1 << tokens)
+            k, at = chosen
+            tokens, documents = int(self.tokens[k]), int(self.documents[k])
+            attention, sequence = self.held[k].pop(at)
+            self._changed(k)
         offset = c.tokens - tokens
-        self.left[sequence][0] -= 1
-        self.left[sequence][1] -= cost
-        tokens -= length
-        if tokens and self.left[sequence][0] and self.left[sequence][1]:
-            self.open[tokens].append(sequence)
-            self.levels |= 1 << tokens
+        tokens, documents, attention = tokens - length, documents - 1, attention - length * length
+        if tokens and documents and attention:
+            self._add(tokens, documents, attention, sequence)
         return sequence, offset
 
 
