@@ -176,6 +176,19 @@ def test_all_capacities_hold(measure):
         assert sum(lengths) <= 100 and len(lengths) <= 4 and sum(x * x for x in lengths) <= 3000
 
 
+def test_prefix_tree_orders_sets_without_lists_of_numbers():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.choice(1 << 40, 20_000)) for _ in range(20)] + [np.arange(k) for k in (3, 1, 2)]
+    assert sorted(range(23), key=lambda k: jaccard._path_key(sets[k])) == sorted(range(23), key=lambda k: sets[k].tolist())
+    tracemalloc.start()
+    jaccard.PrefixTree(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * sum(s.nbytes for s in sets)
+
+
 @pytest.mark.parametrize("measure", ["norm", "dot"])
 @pytest.mark.parametrize("limits", [(100, 4, 3000), (2048, 2048, 2048 * 2048)])
 def test_each_piece_goes_to_the_best_of_all_open_sequences(measure, limits):

@@ -21,6 +21,8 @@ ORDER_BUCKETS = 1 << 17
 #: Sets that share a token are paired one by one up to this many, beyond it in blocks.
 PAIRED = 64
 BLOCK_SETS = 512
+#: Rows that a task makes sets of, or compares by their bits, at once.
+ROWS_AT_ONCE = 1024
 _SHIFT = np.uint64(64 - 17)
 
 
@@ -32,6 +34,18 @@ def shingle_set(text: bytes | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(window_hashes(hashes, min(n, len(hashes))))
 
 
+def _parts(batches):
+    """The batches' rows, up to ROWS_AT_ONCE at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def _path_key(members: np.ndarray) -> bytes:
+    """Bytes that compare as lists of the members do; a list of Python numbers takes five times as much."""
+    return members.astype(">u8").tobytes()
+
+
 def least_overlap(a, b, percent: int = LINK_PERCENT):
     """The smallest intersection with which sets of a and b members link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -72,7 +86,7 @@ class PrefixTree:
     def __init__(self, sets: list[np.ndarray], percent: int = LINK_PERCENT):
         self.percent = percent
         self.root = Branch(np.empty(0, np.int64), 0, 0, 0)
-        order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
+        order = sorted(range(len(sets)), key=lambda k: _path_key(sets[k]))
         path = [self.root]
         previous = np.empty(0, np.int64)
         for k in order:
@@ -168,7 +182,7 @@ def _bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
 
     def run(batches):
         counts = np.zeros(ORDER_BUCKETS, np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             for text in binary(batch, "text"):
                 counts += np.bincount((shingle_set(text, n) >> _SHIFT).astype(np.int64), minlength=ORDER_BUCKETS) if text else 0
         seen = np.flatnonzero(counts)
@@ -187,7 +201,7 @@ def _nodes_and_tokens(docs: DataFrame, n: int, percent: int, counts) -> DataFram
 
     def run(batches):
         rank = counts.value
-        for batch in batches:
+        for batch in _parts(batches):
             rows: dict[str, list] = {"f": [], "n": [], "bits": [], "tokens": []}
             for text in binary(batch, "text"):
                 members = shingle_set(text, n)
@@ -227,7 +241,7 @@ def _pairs(few: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     held = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             columns = [batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")]
             near = [
                 _differ(xa, xb) <= na + nb - 2 * least_overlap(na, nb, percent)
@@ -303,7 +317,7 @@ def linked_components(
     wanted = bundles.select("f").distinct().join(nodes.select("f", "doc"), "f").select("doc", "f")
 
     def members(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingle_set(text, n) for text in binary(batch, "text")]
             f = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
             made = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
