@@ -73,3 +73,20 @@ def test_near_copies_are_of_five_words_and_four_fifths(spark):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0 and out.columns[-2:] == ["sequence_id", "offset"]
+
+
+def test_packing_stage_compares_all_open_sequences(spark):
+    """The best sequence for the last piece has less attention left than 30 that are fuller by tokens."""
+    lengths = [1390] + [700] * 60 + [300]
+    rows = [(i, "a" + " a" * (n - 2), "en", "s", 2 * n - 3) for i, n in enumerate(lengths)]
+    docs = spark.createDataFrame(rows, table(spark, SMALL, "documents").schema)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = dict(corpus_pipeline.STAGES)["best-fit packing"](spark, docs, SMALL).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    placed = {r["doc_id"]: r for r in out}
+    assert [placed[i]["length"] for i in range(len(lengths))] == lengths
+    assert len({r["sequence_id"] for r in out}) == 31
+    assert (placed[61]["sequence_id"], placed[61]["offset"]) == (placed[0]["sequence_id"], 1390)
