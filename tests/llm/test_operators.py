@@ -93,6 +93,71 @@ def test_links(messy, docs):
         assert by_id(found, "n_shingles", "component_id") == want
 
 
+def test_sets_that_travel_grow_with_near_copies_not_with_blocks(docs, monkeypatch):
+    """Each token of a group of near copies sent every set to every pair of its blocks."""
+    random.seed(8)
+    rows = []
+    for i in range(200):
+        words = [f"v{k}" for k in range(120)]
+        for k in random.sample(range(120), random.randint(0, 2)):
+            words[k] = f"u{random.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sent, joined = [], jaccard._joined
+    monkeypatch.setattr(jaccard, "_joined", lambda sets, percent: (sent.append(sets.count()), joined(sets, percent))[1])
+    found = jaccard.linked_components(docs(rows), paired=4, block_sets=16)
+    assert by_id(found, "n_shingles", "component_id") == brute.linked(rows)
+    assert sum(sent) <= 4 * jaccard.HUBS * len(rows)
+
+
+def test_texts_that_share_a_line_make_no_pairs(docs, monkeypatch):
+    """They share a few prefix tokens, linked sets of about their size more than that."""
+    random.seed(9)
+    line = " ".join(f"line{k}" for k in range(12))
+    rows = [(i, " ".join([*(f"w{i}x{k}" for k in range(random.randint(190, 200))), line])) for i in range(80)]
+    rows += [(100 + i, f"{text} end{i}") for i, text in rows[:5]]
+    near, met = jaccard._near, []
+    monkeypatch.setattr(jaccard, "_near", lambda pairs, *rest: (met.append(pairs.count()), near(pairs, *rest))[1])
+    monkeypatch.setattr(jaccard, "_bucket_counts", _level_counts(jaccard._bucket_counts))
+    found = jaccard.linked_components(docs(rows))
+    assert by_id(found, "n_shingles", "component_id") == brute.linked(rows)
+    assert met == [5]
+
+
+def _level_counts(counted):
+    """The first call's counts, by which tokens are ordered, all the same: order by hash alone."""
+    return lambda rows, hashes: counted(rows, hashes) * (0 if rows.columns == ["text"] else 1)
+
+
+def test_prefixes_keep_all_pairs_that_link():
+    random.seed(10)
+    for percent in (80, 90):
+        sets = [sorted(random.sample(range(60), random.randint(20, 45))) for _ in range(30)]
+        sets += [s[:-1] for s in sets] + [sorted({*s, 60 + k % 3}) for k, s in enumerate(sets)]
+        order = random.sample(range(63), 63)
+        prefixes = [
+            np.array(sorted(s, key=order.index)[: len(s) - jaccard.least_overlap_of_equal(len(s), percent) + 1])
+            for s in sets
+        ]
+        linked, found = {}, {}
+        for a, s in enumerate(sets):
+            for b, o in enumerate(sets[:a]):
+                both = len({*s} & {*o})
+                if 100 * both >= percent * (len(s) + len(o) - both) and a % 7 != b % 7:
+                    linked[b, a] = min({*prefixes[a].tolist()} & {*prefixes[b].tolist()})
+        for token in range(63):
+            held = [k for k in range(len(sets)) if token in prefixes[k]]
+            if len(held) > 1:
+                sizes, roots = np.array([len(sets[k]) for k in held]), np.array([k % 7 for k in held])
+                flags = np.ones(len(held), bool)
+                made = jaccard.near_prefixes(token, sizes, roots, flags, flags, [prefixes[k] for k in held], percent)
+                for x, y in zip(*made, strict=True):
+                    assert sizes[x] >= sizes[y] and roots[x] != roots[y]
+                    pair = tuple(sorted((held[x], held[y])))
+                    assert pair not in found
+                    found[pair] = token
+        assert linked and linked.items() <= found.items() and len(found) < 90 * 89 / 4
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 99)], "u long, v long")
     assert dict(components(edges).collect()) == {k: 0 for k in range(1, 31)} | {100: 99}

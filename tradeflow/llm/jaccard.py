@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +20,19 @@ SHINGLE_WORDS = 3
 #: Two sets link when 100 * intersection >= percent * union; what callers get who name no percentage.
 LINK_PERCENT = 90
 #: Shingle counts are kept by this many hash values; they order shingles, rarest first.
-ORDER_BUCKETS = 1 << 17
+ORDER_BUCKETS = 1 << 22
+#: Sums of so many buckets are one row when tasks add theirs up.
+BUCKETS_A_ROW = 1 << 12
 #: Sets that share a token are paired one by one up to this many, beyond it in blocks.
 PAIRED = 64
 BLOCK_SETS = 512
+#: Sets with a token of more sets than PAIRED are first compared with so many sets that resemble them.
+HUBS = 4
 #: Rows that a task makes sets of, or compares by their bits, at once.
 ROWS_AT_ONCE = 1024
-_SHIFT = np.uint64(64 - 17)
+#: Tokens that a block's sets are compared by at once.
+TOKENS_AT_ONCE = 4096
+_SHIFT = np.uint64(64 - 22)
 
 
 def shingle_set(text: bytes | None, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -177,22 +186,45 @@ def link_forest(
     return links
 
 
-def _bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """Documents by hash value of their shingles, over all documents; one array whatever the input."""
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> _SHIFT).astype(np.int64)
 
-    def run(batches):
-        counts = np.zeros(ORDER_BUCKETS, np.int64)
+
+def _packed(counts: np.ndarray) -> bytes:
+    """BUCKETS_A_ROW sums in as few bytes each as the largest needs, compressed."""
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
+
+
+def _unpacked(row: bytes) -> np.ndarray:
+    plain = zlib.decompress(row)
+    return np.frombuffer(plain, f"<u{len(plain) // BUCKETS_A_ROW}").astype(np.int64)
+
+
+def _bucket_counts(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """How many of the hashes of all rows fall into each bucket; one array whatever the input."""
+
+    def count(batches):
+        counts = np.zeros(ORDER_BUCKETS, np.uint32)
         for batch in _parts(batches):
-            for text in binary(batch, "text"):
-                counts += np.bincount((shingle_set(text, n) >> _SHIFT).astype(np.int64), minlength=ORDER_BUCKETS) if text else 0
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["b", "n"])
+            np.add.at(counts, _buckets(hashes(batch)), np.uint32(1))
+        dealt = counts.reshape(-1, BUCKETS_A_ROW)
+        seen = np.flatnonzero(dealt.any(axis=1))
+        packed = pa.array([_packed(dealt[k]) for k in seen], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), packed], ["k", "packed"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, row in zip(batch.column("k").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + _unpacked(row)
+        packed = pa.array([_packed(c) for c in sums.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), packed], ["k", "packed"])
 
-    rows = docs.select("text").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    out = np.zeros(ORDER_BUCKETS, np.int64)
-    for row in rows.collect():  # ORDER_BUCKETS rows at most
-        out[row["b"]] = row["n"]
-    return out
+    kind = "k long, packed binary"
+    out = np.zeros((ORDER_BUCKETS // BUCKETS_A_ROW, BUCKETS_A_ROW), np.int64)
+    for row in rows.mapInArrow(count, kind).repartition("k").mapInArrow(add, kind).collect():
+        out[row["k"]] = _unpacked(row["packed"])
+    return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def _nodes_and_tokens(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
@@ -207,7 +239,7 @@ def _nodes_and_tokens(docs: DataFrame, n: int, percent: int, counts) -> DataFram
                 members = shingle_set(text, n)
                 size = len(members)
                 prefix = size - int(least_overlap_of_equal(size, percent)) + 1 if size else 0
-                order = np.lexsort((members, rank[(members >> _SHIFT).astype(np.int64)]))
+                order = np.lexsort((members, rank[_buckets(members)]))
                 rows["f"].append(xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63))
                 rows["n"].append(size)
                 rows["bits"].append(_parity(members))
@@ -229,31 +261,40 @@ def least_overlap_of_equal(size: int, percent: int = LINK_PERCENT) -> int:
     return -(-percent * size // 100)
 
 
-def _pairs(few: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Bundles of a set and the partners that sizes and bits do not rule out: (bundle, f, probe, stored).
+def _overlap(percent: int) -> tuple[str, str]:
+    """SQL of least_overlap(na, nb), and of the prefix tokens that linked sets of these sizes, na >= nb, share."""
+    least = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    return least, f"({least} - ({percent} * na + 99) div 100 + 1)"
 
-    A token has few sets here, so the join by token makes a bounded number of pairs for each row.
+
+def _pairs(few: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and shared prefix tokens do not rule out, na >= nb.
+
+    A token has few sets here, so the join by token makes a bounded number of pairs for
+    each row. Of two linked sets, the prefix that ends first in the global order holds
+    all but least_overlap(size) - 1 of its set's tokens, so least_overlap(na, nb) -
+    least_overlap_of_equal(na) + 1 of them at least are in both prefixes. The first common
+    token has no more than n - least_overlap(na, nb) tokens of its set before it. Tokens
+    of many sets are not seen here; a pair may share as many as the set with fewer has.
     """
-    sized = few.join(bits.select("f", "n"), "f")
-    left, right = sized.toDF("a", "t", "na"), sized.toDF("b", "t", "nb")
+    least, shared = _overlap(percent)
+    known = few.join(crowded.select("f", "k"), "f", "left").select("t", "f", "n", "i", F.coalesce("k", F.lit(0)).alias("k"))
+    left, right = known.toDF("t", "a", "na", "ia", "ka"), known.toDF("t", "b", "nb", "ib", "kb")
     fitting = F.expr(f"(nb < na or nb = na and b < a) and 100 * nb >= {percent} * na")
-    pairs = left.join(right, "t").filter(fitting).select("a", "b").distinct()
-    held = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
+    met = left.join(right, "t").filter(fitting).withColumn("early", F.expr(f"ia <= na - {least} and ib <= nb - {least}"))
+    counted = met.groupBy("a", "b", "na", "nb", F.least("ka", "kb").alias("k")).agg(
+        F.count("*").alias("both"), F.max("early").alias("early")
+    )
+    return counted.filter(F.expr(f"both + k >= {shared} and (early or k > 0)")).select("a", "b")
 
-    def run(batches):
-        for batch in _parts(batches):
-            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")]
-            near = [
-                _differ(xa, xb) <= na + nb - 2 * least_overlap(na, nb, percent)
-                for na, nb, xa, xb in zip(*columns, strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    near = staged(held.mapInArrow(run, "a long, b long"), "pairs")
-    named = F.col("a").cast("string").alias("bundle")
-    partner = near.select(named, F.col("b").alias("f"), F.lit(False).alias("probe"), F.lit(True).alias("stored"))
-    own = near.select(named, F.col("a").alias("f"), F.lit(True).alias("probe"), F.lit(False).alias("stored"))
-    return partner.union(own.distinct())
+def _hub_pairs(many: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a hub and each set with the same least hash of tokens of many sets, HUBS times over."""
+    least = many.groupBy("f").agg(*(F.min(F.xxhash64("t", F.lit(k))).alias(f"h{k}") for k in range(HUBS)))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(HUBS))))
+    dealt = least.select("f", each.alias("x")).select("f", "x.k", "x.h")
+    hubs = dealt.groupBy("k", "h").agg(F.min(F.struct(F.xxhash64("f", "k").alias("o"), F.col("f").alias("a"))).alias("x"))
+    return dealt.join(hubs.select("k", "h", "x.a"), ["k", "h"]).filter("a <> f").select("a", F.col("f").alias("b"))
 
 
 def _blocks(grouped: DataFrame, sizes: DataFrame, block_sets: int) -> DataFrame:
@@ -263,10 +304,114 @@ def _blocks(grouped: DataFrame, sizes: DataFrame, block_sets: int) -> DataFrame:
     other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     name = F.concat_ws("/", "t", F.least("i", "j"), F.greatest("i", "j")).alias("bundle")
     return other.select(
-        name, "f", (F.col("i") <= F.col("j")).alias("probe"), (F.col("i") >= F.col("j")).alias("stored")
+        name,
+        *grouped.columns,
+        (F.col("i") <= F.col("j")).alias("probe"),
+        (F.col("i") >= F.col("j")).alias("stored"),
     )
 
 
+def near_prefixes(
+    token: int, sizes: np.ndarray, roots: np.ndarray, probe: np.ndarray, stored: np.ndarray,
+    prefixes: list[np.ndarray], percent: int = LINK_PERCENT,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (larger, smaller) of pairs of sets whose first common prefix token by value is `token`.
+
+    Left out are pairs that are connected already, or that sizes or the number of common
+    prefix tokens rule out.
+    """
+    values, columns, counts = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
+    places = np.cumsum(counts > 1) - 1  # tokens of one set only count for no pair
+    rows = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])[counts[columns] > 1]
+    columns = places[columns[counts[columns] > 1]]
+    values = values[counts > 1]
+    least = np.minimum(sizes[:, None], sizes[None, :])
+    most = np.maximum(sizes[:, None], sizes[None, :])
+    fit = (100 * least >= percent * most) & (roots[:, None] != roots[None, :])
+    fit &= (probe[:, None] & stored[None, :]) | (stored[:, None] & probe[None, :])
+    both, before = np.zeros(fit.shape, np.float32), int(np.searchsorted(values, token))
+    cuts = sorted({*range(0, len(values), TOKENS_AT_ONCE), before, len(values)})
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        of = (columns >= start) & (columns < end)
+        holds = np.zeros((len(prefixes), end - start), np.float32)
+        holds[rows[of], columns[of] - start] = 1
+        both += holds @ holds.T
+        if end == before:
+            fit &= both == 0
+    fit &= both >= least_overlap(least, most, percent) - least_overlap_of_equal(most, percent) + 1
+    a, b = np.nonzero(np.triu(fit, 1))
+    swap = sizes[a] < sizes[b]
+    return np.where(swap, b, a), np.where(swap, a, b)
+
+
+def _crowded_pairs(many: DataFrame, nodes: DataFrame, roots: DataFrame, block_sets: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that share tokens of many sets, are not connected yet and not ruled out by their prefixes."""
+    placed = many.select("t", "f", "n").join(roots.withColumnRenamed("u", "f"), "f", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "f"))
+    apart = placed.groupBy("t").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
+    dealt = _blocks(placed, apart.filter("x <> y").select("t", "m"), block_sets)
+    rows = dealt.join(nodes.select("f", "tokens"), "f")
+
+    def pairs(bundle: list[tuple]) -> pa.RecordBatch:
+        if len(bundle) < 2:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+        token, f, *flags, prefixes = zip(*bundle, strict=True)
+        a, b = near_prefixes(token[0], *map(np.array, flags), list(prefixes), percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(f)[x], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    return _by_bundle(rows, ["t", "f", "n", "root", "probe", "stored"], "tokens", pairs)
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bits do not rule out."""
+    bits = nodes.select("f", "n", "bits")
+    sized = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
+    held = sized.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+
+    def run(batches):
+        for batch in _parts(batches):
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")]
+            near = [
+                _differ(xa, xb) <= na + nb - 2 * least_overlap(na, nb, percent)
+                for na, nb, xa, xb in zip(*columns, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return held.mapInArrow(run, "a long, b long")
+
+
+def _sets(rows: DataFrame, wanted: Broadcast, n: int) -> DataFrame:
+    """(f, members) of the wanted sets, and of a few others that share buckets with them."""
+
+    def run(batches):
+        flags = wanted.value
+        for batch in _parts(batches):
+            batch = batch.filter(pa.array(flags[_buckets(batch.column("h").to_numpy())]))
+            sets = [shingle_set(text, n) for text in binary(batch, "text")]
+            f = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], np.int64)
+            kept = np.flatnonzero(flags[_buckets(f)])
+            made = pa.array([sets[k].view(np.int64) for k in kept], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(f[kept]), made], ["f", "members"])
+
+    return rows.select(F.xxhash64("doc").alias("h"), "text").mapInArrow(run, "f long, members array<long>")
+
+
+def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int, block_sets: int) -> DataFrame:
+    """Links (a, b) among the pairs, no more than connect them: each a meets its partners in a tree."""
+    near = staged(_near(pairs.distinct(), nodes, percent), "pairs")
+    parts = near.groupBy("a").agg(F.ceil(F.count("*") / block_sets).alias("parts")).filter("parts > 1")
+    dealt = near.join(parts, "a", "left").withColumn("i", F.expr("pmod(xxhash64(b), coalesce(parts, 1))"))
+    named = dealt.select(F.concat_ws("/", "a", "i").alias("bundle"), "a", "b")
+    partner = named.select("bundle", F.col("b").alias("f"), F.lit(False).alias("probe"), F.lit(True).alias("stored"))
+    own = named.select("bundle", F.col("a").alias("f"), F.lit(True).alias("probe"), F.lit(False).alias("stored"))
+    bundles = partner.union(own.distinct())
+    wanted = bundles.select("f").distinct().join(nodes.select("f", "doc"), "f")
+    hashes = wanted.select(F.explode(F.array("f", F.xxhash64("doc"))).alias("h"))
+    flags = _bucket_counts(hashes, lambda batch: batch.column("h").to_numpy()) > 0
+    sets = _sets(rows, rows.sparkSession.sparkContext.broadcast(flags), n)
+    return staged(_joined(bundles.join(sets.dropDuplicates(["f"]), "f"), percent).distinct(), "links")
+
+
 def linked_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -284,10 +429,13 @@ def linked_components(
     ordered by how many documents have their hash value (counted over all documents, in
     an array of fixed size) and then by hash; sets that link share one of the first few
     in that order. Tokens of one set only are dropped. Up to `paired` sets with a common
-    token are paired, if their sizes and parity bits allow a link, and each set meets its
-    partners in one tree; more sets are dealt into blocks, and every pair of blocks is
-    joined in a tree by itself, so that no task holds more than two blocks, and only links
-    that connect are returned. All of it is exact for 64-bit hashes of shingles and sets.
+    token are paired, if their sizes, shared prefix tokens and parity bits allow a link,
+    and each set meets its partners in one tree. Sets with a token of more sets first
+    meet a few hubs in this way; what is not connected then is dealt into blocks by
+    token, and prefixes are compared in every pair of blocks by itself, so that no task
+    holds more than two blocks. The pairs they leave meet in trees like the others. Sets
+    travel only to trees, and only links that connect are returned. All of it is exact
+    for 64-bit hashes of shingles and sets.
 
     Rows without words, with null or empty text, have no shingles and link with nothing.
     Rows with a null id take no part and keep a null component. Repeated ids are texts of
@@ -295,40 +443,48 @@ def linked_components(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(_bucket_counts(rows, n))
+
+    def shingles(batch):
+        return np.concatenate([np.empty(0, np.uint64), *(shingle_set(text, n) for text in binary(batch, "text"))])
+
+    counts = spark.sparkContext.broadcast(_bucket_counts(rows.select("text"), shingles))
     every = staged(_nodes_and_tokens(rows, n, percent, counts), "sets")
+    firsts = (F.first(c).alias(c) for c in ("n", "bits", "tokens"))
     some = every.filter("n > 0 and doc is not null")
-    nodes = staged(
-        some.groupBy("f").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")),
-        "nodes",
-    )
-    tokens = some.select("f", F.explode("tokens").alias("t")).distinct()
-    tokens = staged(tokens, "tokens")
+    nodes = staged(some.groupBy("f").agg(F.min("doc").alias("doc"), *firsts), "nodes")
+    tokens = nodes.select("f", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("i", "t"))
     sizes = tokens.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1")
     grouped = staged(tokens.join(sizes, "t"), "groups")
-    few = grouped.filter(F.col("m") <= paired).select("t", "f")
     many = grouped.filter(F.col("m") > paired)
-    bundles = staged(
-        _pairs(few, nodes.select("f", "n", "bits"), percent).union(
-            _blocks(many.select("t", "f"), many.select("t", "m").distinct(), block_sets)
-        ),
-        "bundles",
-    )
-    wanted = bundles.select("f").distinct().join(nodes.select("f", "doc"), "f").select("doc", "f")
+    crowded = many.groupBy("f").agg(F.count("*").alias("k"))
+    pairs = _pairs(grouped.filter(F.col("m") <= paired), crowded, percent)
+    links = _links(pairs.union(_hub_pairs(many)), rows, nodes, n, percent, block_sets)
+    if many.limit(1).count():
+        roots = components(links.toDF("u", "v"))
+        more = _links(_crowded_pairs(many, nodes, roots, block_sets, percent), rows, nodes, n, percent, block_sets)
+        links = roots.toDF("a", "b").union(more)
+    return _labelled(every, nodes, links, id_col)
 
-    def members(batches):
-        for batch in _parts(batches):
-            sets = [shingle_set(text, n) for text in binary(batch, "text")]
-            f = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            made = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), made], ["f", "members"])
 
-    texts = rows.join(wanted.select("doc").distinct().hint("shuffle_hash"), "doc", "left_semi").select("text")
-    sets = texts.mapInArrow(members, "f long, members array<long>")
+def _by_bundle(rows: DataFrame, columns: list[str], listed: str, made: Callable[[list[tuple]], pa.RecordBatch]) -> DataFrame:
+    """What `made` makes of each bundle's rows (columns, the list as an array), one bundle after the other."""
 
-    flagged = bundles.groupBy("bundle", "f").agg(F.max("probe").alias("probe"), F.max("stored").alias("stored"))
-    links = staged(_joined(flagged.join(sets.dropDuplicates(["f"]), "f"), percent).distinct(), "links")
-    return _labelled(every, nodes, links, id_col)
+    def run(batches):
+        name, bundle = None, []
+        for batch in batches:
+            values = [batch.column(c).to_pylist() for c in ("bundle", *columns)]
+            lists = batch.column(listed)
+            for k, row in enumerate(zip(*values, strict=True)):
+                if row[0] != name:
+                    if bundle:
+                        yield made(bundle)
+                    name, bundle = row[0], []
+                bundle.append((*row[1:], lists[k].values.to_numpy(zero_copy_only=False).copy()))
+        if bundle:
+            yield made(bundle)
+
+    dealt = rows.select("bundle", *columns, listed).repartition("bundle").sortWithinPartitions("bundle", "f")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
@@ -338,28 +494,12 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
         found: list[tuple[int, int]] = []
         if len(bundle) > 1:
             f, probe, stored, members = zip(*bundle, strict=True)
-            found = link_forest(np.array(f), list(members), np.array(probe), np.array(stored), percent)
+            sets = [m.view(np.uint64) for m in members]
+            found = link_forest(np.array(f), sets, np.array(probe), np.array(stored), percent)
         columns = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    def run(batches):
-        name, bundle = None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bundle", "f", "probe", "stored")]
-            listed = batch.column("members")
-            for k, row in enumerate(zip(*columns, strict=True)):
-                if row[0] != name:
-                    if bundle:
-                        yield links(bundle)
-                    name, bundle = row[0], []
-                members = listed[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                bundle.append((*row[1:], members.copy()))
-        if bundle:
-            yield links(bundle)
-
-    columns = rows.select("bundle", "f", "probe", "stored", "members")
-    dealt = columns.repartition("bundle").sortWithinPartitions("bundle", "f")
-    return dealt.mapInArrow(run, "a long, b long")
+    return _by_bundle(rows, ["f", "probe", "stored"], "members", links)
 
 
 def _labelled(every: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
