@@ -32,6 +32,8 @@ HUBS = 4
 ROWS_AT_ONCE = 1024
 #: Tokens that a block's sets are compared by at once.
 TOKENS_AT_ONCE = 4096
+#: Pairs of a block that are compared by their bits at once.
+PAIRS_AT_ONCE = 16_384
 _SHIFT = np.uint64(64 - 22)
 
 
@@ -297,18 +299,45 @@ def _hub_pairs(many: DataFrame) -> DataFrame:
     return dealt.join(hubs.select("k", "h", "x.a"), ["k", "h"]).filter("a <> f").select("a", F.col("f").alias("b"))
 
 
-def _blocks(grouped: DataFrame, sizes: DataFrame, block_sets: int) -> DataFrame:
-    """Blocks of sets with a common token, and each pair of blocks as a bundle."""
-    many = sizes.select("t", F.ceil(F.col("m") / block_sets).cast("int").alias("parts"))
-    dealt = grouped.join(many, "t").withColumn("i", F.pmod(F.xxhash64("f", "t"), F.col("parts")).cast("int"))
-    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    name = F.concat_ws("/", "t", F.least("i", "j"), F.greatest("i", "j")).alias("bundle")
-    return other.select(
-        name,
-        *grouped.columns,
-        (F.col("i") <= F.col("j")).alias("probe"),
-        (F.col("i") >= F.col("j")).alias("stored"),
+def _blocks(placed: DataFrame, block_sets: int) -> DataFrame:
+    """Blocks of sets (t, f, root) with a common token, and each pair of blocks as a bundle.
+
+    Sets of the token's largest root, if these are more than a block, meet only the others.
+    """
+    counted = placed.groupBy("t", "root").agg(F.count("*").alias("c"))
+    sizes = counted.groupBy("t").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("x"))
+    parts = sizes.filter("x.c < m").selectExpr("t", f"if(x.c > {block_sets}, x.c, 0) most", "x.root main", "m").selectExpr(
+        "t", "main", f"cast(ceil(most / {block_sets}) as int) mains", f"cast(ceil((m - most) / {block_sets}) as int) others"
     )
+    dealt = placed.join(parts, "t").withColumn("of_main", F.expr("mains > 0 and root = main"))
+    dealt = dealt.withColumn("i", F.expr("cast(pmod(xxhash64(f, t), if(of_main, mains, others)) as int)"))
+    among = dealt.filter("not of_main").withColumn("j", F.expr("explode(sequence(0, others - 1))"))
+    across = dealt.filter("mains > 0").withColumn("j", F.expr("explode(sequence(0, if(of_main, others, mains) - 1))"))
+    return among.selectExpr(
+        "concat_ws('/', t, least(i, j), greatest(i, j)) bundle", *placed.columns, "i <= j probe", "i >= j stored"
+    ).union(
+        across.selectExpr(
+            "concat_ws('/', t, 'main', if(of_main, i, j), if(of_main, j, i)) bundle",
+            *placed.columns, "of_main probe", "not of_main stored",
+        )
+    )
+
+
+def _alike(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of positions (a, b) the parity bits do not rule out."""
+    near, lengths = np.zeros(len(a), bool), np.array([len(x) for x in bits])
+    for of_a, of_b in {*zip(lengths[a].tolist(), lengths[b].tolist(), strict=True)}:
+        at = np.flatnonzero((lengths[a] == of_a) & (lengths[b] == of_b))
+        for part in np.split(at, range(PAIRS_AT_ONCE, len(at), PAIRS_AT_ONCE)):
+            x, y = (np.frombuffer(b"".join([bits[k] for k in c[part]]), np.uint64).reshape(len(part), -1) for c in (a, b))
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            total = sizes[a[part]] + sizes[b[part]]
+            least = least_overlap(sizes[a[part]], sizes[b[part]], percent)
+            near[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= total - 2 * least
+    return near
 
 
 def near_prefixes(
@@ -345,21 +374,23 @@ def near_prefixes(
 
 
 def _crowded_pairs(many: DataFrame, nodes: DataFrame, roots: DataFrame, block_sets: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share tokens of many sets, are not connected yet and not ruled out by their prefixes."""
+    """Pairs (a, b) of sets that share tokens of many sets, are not connected yet and not ruled out by prefixes and bits."""
     placed = many.select("t", "f", "n").join(roots.withColumnRenamed("u", "f"), "f", "left")
     placed = placed.withColumn("root", F.coalesce("root", "f"))
-    apart = placed.groupBy("t").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
-    dealt = _blocks(placed, apart.filter("x <> y").select("t", "m"), block_sets)
-    rows = dealt.join(nodes.select("f", "tokens"), "f")
+    rows = _blocks(placed, block_sets).join(nodes.select("f", "tokens", "bits"), "f")
 
     def pairs(bundle: list[tuple]) -> pa.RecordBatch:
         if len(bundle) < 2:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-        token, f, *flags, prefixes = zip(*bundle, strict=True)
-        a, b = near_prefixes(token[0], *map(np.array, flags), list(prefixes), percent)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(f)[x], pa.int64()) for x in (a, b)], ["a", "b"])
+        token, f, sizes, roots, probe, stored, bits, prefixes = zip(*bundle, strict=True)
+        sizes = np.array(sizes)
+        a, b = near_prefixes(
+            token[0], sizes, np.array(roots), np.array(probe), np.array(stored), list(prefixes), percent
+        )
+        near = _alike(a, b, sizes, bits, percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(f)[x[near]], pa.int64()) for x in (a, b)], ["a", "b"])
 
-    return _by_bundle(rows, ["t", "f", "n", "root", "probe", "stored"], "tokens", pairs)
+    return _by_bundle(rows, ["t", "f", "n", "root", "probe", "stored", "bits"], "tokens", pairs)
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -432,9 +463,9 @@ def linked_components(
     token are paired, if their sizes, shared prefix tokens and parity bits allow a link,
     and each set meets its partners in one tree. Sets with a token of more sets first
     meet a few hubs in this way; what is not connected then is dealt into blocks by
-    token, and prefixes are compared in every pair of blocks by itself, so that no task
-    holds more than two blocks. The pairs they leave meet in trees like the others. Sets
-    travel only to trees, and only links that connect are returned. All of it is exact
+    token, and prefixes and bits are compared in every pair of blocks by itself, so that
+    no task holds more than two blocks. The pairs they leave meet in trees like the others.
+    Sets travel only to trees, and only links that connect are returned. All of it is exact
     for 64-bit hashes of shingles and sets.
 
     Rows without words, with null or empty text, have no shingles and link with nothing.
